@@ -44,14 +44,16 @@ def heavy_keys(
         )
     )
     limit = int(2 / share)
-    row = partial.agg(
+    row = partial.groupBy(F.lit(0).alias("__root")).agg(  # unlike a bare agg, no row at all for an empty table
         F.sum("n").alias("n"),
         *[
             F.expr(f"approx_top_k_estimate(approx_top_k_combine(k{i}, {TRACKED}), {limit})").alias(f"k{i}")
             for i in range(len(keys))
         ],
     ).first()
-    total = row["n"] or 0
+    if row is None:
+        return 0, {k: [] for k in keys}
+    total = row["n"]
     return total, {
         k: [x["item"] for x in row[f"k{i}"] or [] if x["item"] is not None and x["count"] >= share * total]
         for i, k in enumerate(keys)
