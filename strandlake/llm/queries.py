@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.llm.mixing import mix
 from strandlake.llm.ngrams import ngram_counts
 from strandlake.llm.overlap import overlap_sizes
+from strandlake.llm.packing import fill_containers
+from strandlake.llm.spans import shared_shares, shared_spans, shared_windows
+from strandlake.llm.splitting import split_documents
 from strandlake.llm.sql import ORACLE  # noqa: F401
 from strandlake.llm.topn import top_per_group
 from strandlake.operators.entries import valid_entries
@@ -14,6 +18,8 @@ from strandlake.runtime import small, table
 
 #: p1: overlap as a share of the smaller set. p2: items per group. p4: buckets from which on a minimizer is common.
 MIN_SHARE, TOP, COMMON = 0.25, 3, 16
+#: p5: letters of a span. p6: tokens of a container. p8: tokens of a piece, and those shared with the one before.
+SPAN, CAPACITY, LIMIT, OVERLAP = 64, 2048, 512, 32
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,11 +72,57 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_counts(spark, sf_dir).where("freq_class <> 'useful'").select("minimizer", "freq_class")
 
 
-QUERIES = {
-    "p1_found": p1_found,
-    "p1_overlaps": p1_overlaps,
-    "p2_found": p2_found,
-    "p2_top": p2_top,
-    "p4_found": p4_found,
-    "p4_counts": p4_counts,
-}
+def p5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of each read that stand elsewhere, and the longest window in each that is shared whole."""
+    return shared_spans(table(spark, sf_dir, "read_records"), SPAN).drop("key")
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the sequences of each id also stands elsewhere."""
+    reads = table(spark, sf_dir, "read_records")
+    return shared_shares(reads, shared_spans(reads, SPAN)).select("id", "n_letters", "n_shared")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_windows(table(spark, sf_dir, "read_records"), SPAN).select("id").distinct()
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the containers, with their fill."""
+    return fill_containers(table(spark, sf_dir, "documents"), CAPACITY)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_containers(spark, sf_dir).where("is_split").select("doc_id").distinct()
+
+
+def p7_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).draw
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares wanted and reached."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = F.col("drawn_tokens") < F.col("wanted_tokens")
+    return p7_report(spark, sf_dir).where(~F.col("reachable") & short).select("source")
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their positions."""
+    return split_documents(table(spark, sf_dir, "documents"), LIMIT, OVERLAP)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cuts = p8_pieces(spark, sf_dir).where("cut_line IS NOT NULL")
+    return cuts.select("doc_id", F.col("cut_line").alias("line_no")).distinct()
+
+
+_ALL = [
+    p1_found, p1_overlaps, p2_found, p2_top, p4_found, p4_counts, p5_found, p5_spans, p5_shares,
+    p6_found, p6_containers, p7_found, p7_draw, p7_report, p8_found, p8_pieces,
+]
+QUERIES = {f.__name__: f for f in _ALL}

@@ -24,6 +24,16 @@ _TERMS = f"""WITH {_VALID},
   classed AS (SELECT *, CASE WHEN n_buckets >= 16 THEN 'common' WHEN n_places = 1 THEN 'rare' ELSE 'useful' END
       AS freq_class FROM counts)"""
 
+_WINDOWS = """WITH reads AS (SELECT DISTINCT id, upper(sequence) AS s FROM read_records
+    WHERE id IS NOT NULL AND sequence IS NOT NULL),
+  places AS (SELECT id, s, unnest(range(0, length(s) - 63)) AS pos FROM reads WHERE length(s) >= 64),
+  windows AS (SELECT id, s, pos, substr(s, pos + 1, 64) AS w FROM places),
+  shared AS (SELECT w FROM windows WHERE regexp_full_match(w, '[ACGT]{64}') GROUP BY w HAVING count(DISTINCT id) > 1),
+  found AS (SELECT id, s, pos FROM windows WHERE w IN (SELECT w FROM shared))"""
+
+# A token of the sizes; blanks are space, tab, LF, VT, FF and CR.
+_SIZE = "len(regexp_extract_all({}, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\n\\v\\f\\r]+'))"
+
 ORACLE = {
     "p1_found": f"{_PAIRS} SELECT bucket_id_a, bucket_id_b FROM sized WHERE n_both >= 0.25 * least(n_a, n_b)",
     "p1_overlaps": f"{_PAIRS} SELECT * FROM sized",
@@ -31,4 +41,21 @@ ORACLE = {
     "p2_top": f"{_RANKED} SELECT query_id, bucket_id, score, rank FROM ranked WHERE rank <= 10",
     "p4_found": f"{_TERMS} SELECT minimizer, freq_class FROM classed WHERE freq_class <> 'useful'",
     "p4_counts": f"{_TERMS} SELECT * FROM classed",
+    "p5_found": f"{_WINDOWS} SELECT DISTINCT id FROM found",
+    "p5_shares": f"""{_WINDOWS},
+  letters AS (SELECT id, CAST(sum(length(s)) AS BIGINT) AS n_letters FROM reads GROUP BY id),
+  covered AS (SELECT id, count(DISTINCT (s, letter)) AS n FROM (SELECT id, s, unnest(range(pos, pos + 64)) AS letter FROM found) GROUP BY id),
+  ids AS (SELECT DISTINCT id FROM read_records WHERE id IS NOT NULL)
+SELECT i.id, coalesce(l.n_letters, 0) AS n_letters, coalesce(c.n, 0) AS n_shared
+FROM ids i LEFT JOIN letters l ON l.id = i.id LEFT JOIN covered c ON c.id = i.id""",
+    "p6_found": f"SELECT doc_id FROM documents WHERE {_SIZE.format('text')} > 2048",
+    "p7_found": f"""WITH sized AS (SELECT lower(trim(source, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS source,
+    coalesce({_SIZE.format('text')}, 0) AS n FROM documents WHERE source IS NOT NULL),
+  total AS (SELECT sum(n) AS t FROM sized),
+  own AS (SELECT source, sum(n) AS n FROM sized GROUP BY source)
+SELECT m.source FROM mix_targets m LEFT JOIN own o ON o.source = m.source
+WHERE coalesce(o.n, 0) * m.max_repeats < m.target_share * (SELECT t FROM total)""",
+    "p8_found": f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INT) AS line_no FROM documents)
+SELECT doc_id, line_no FROM lines WHERE {_SIZE.format('line')} > 512""",
 }
