@@ -28,7 +28,7 @@ MAPPED = f"""mapped AS (SELECT feature_idx, min(clean) AS bucket_name FROM (SELE
     FROM (SELECT DISTINCT bucket_name FROM mapped))"""
 
 FEATURES = f"""{WHOLE}, {MAPPED},
-  features AS (SELECT w.feature_idx, w.sequence, i.bucket_name, i.bucket_id FROM whole w
+  features AS MATERIALIZED (SELECT w.feature_idx, w.sequence, i.bucket_name, i.bucket_id FROM whole w
     JOIN mapped m ON m.feature_idx = w.feature_idx JOIN ids i ON i.bucket_name = m.bucket_name)"""
 
 SALT = 0x5555555555555555
@@ -57,11 +57,14 @@ def complement(text: str) -> str:
 def picks(name: str, source: str, key: str, sequence: str, k: int, w: int, salt: int = SALT) -> str:
     """``{name}_w``: for every full window its key, run, end, and the chosen (hash, minus position) of both strands."""
     hashed = f"xor({packed('s')}, CAST({salt} AS UBIGINT)) AS fwd, xor({packed(complement('s'))}, CAST({salt} AS UBIGINT)) AS rc"
-    return f"""{name}_k AS (SELECT key, p, substr(b, p + 1, {k}) AS s FROM (SELECT {key} AS key, {bits(sequence)} AS b,
-      unnest(range(0, length({sequence}) - {k} + 1)) AS p FROM {source} WHERE length({sequence}) >= {k})),
+    # Long texts are cut into blocks first: a substring from the far end of a text is slow.
+    return f"""{name}_c AS (SELECT key, block, substr(b, block + 1, {127 + k}) AS t FROM (SELECT {key} AS key, {bits(sequence)} AS b,
+      unnest(range(0, length({sequence}) - {k} + 1, 128)) AS block FROM {source} WHERE length({sequence}) >= {k})),
+  {name}_k AS (SELECT key, block + o AS p, substr(t, o + 1, {k}) AS s FROM (SELECT key, block, t,
+      unnest(range(0, least(128, length(t) - {k} + 1))) AS o FROM {name}_c)),
   {name}_v AS (SELECT key, p, p - row_number() OVER (PARTITION BY key ORDER BY p) AS run, {hashed}
     FROM {name}_k WHERE regexp_full_match(s, '[01]+')),
-  {name}_w AS (SELECT * FROM (SELECT key, run, p, count(*) OVER f AS n, min({{'h': fwd, 'q': -p}}) OVER f AS fwd,
+  {name}_w AS MATERIALIZED (SELECT * FROM (SELECT key, run, p, count(*) OVER f AS n, min({{'h': fwd, 'q': -p}}) OVER f AS fwd,
       min({{'h': rc, 'q': -p}}) OVER f AS rc FROM {name}_v
       WINDOW f AS (PARTITION BY key, run ORDER BY p ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)) WHERE n = {w})"""
 
@@ -69,7 +72,7 @@ def picks(name: str, source: str, key: str, sequence: str, k: int, w: int, salt:
 def sets(name: str, source: str, key: str, sequence: str, k: int = 16, w: int = 8, salt: int = SALT) -> str:
     """``{name}``: key, strand, h (unsigned), distinct."""
     return f"""{picks(name, source, key, sequence, k, w, salt)},
-  {name} AS (SELECT DISTINCT key, 0 AS strand, fwd.h AS h FROM {name}_w
+  {name} AS MATERIALIZED (SELECT DISTINCT key, 0 AS strand, fwd.h AS h FROM {name}_w
     UNION ALL SELECT DISTINCT key, 1, rc.h FROM {name}_w)"""
 
 
@@ -82,7 +85,7 @@ def paired(name: str, k: int = 16, w: int = 8) -> str:
 def index(name: str = "idx", k: int = 16, w: int = 8) -> str:
     """``{name}``: h, bucket_id of the features."""
     return f"""{sets(name + '_s', 'features', 'feature_idx', 'sequence', k, w)},
-  {name} AS (SELECT DISTINCT s.h, f.bucket_id FROM {name}_s s JOIN features f ON f.feature_idx = s.key WHERE s.strand = 0)"""
+  {name} AS MATERIALIZED (SELECT DISTINCT s.h, f.bucket_id FROM {name}_s s JOIN features f ON f.feature_idx = s.key WHERE s.strand = 0)"""
 
 
 def scored(name: str, sketch: str, idx: str) -> str:
