@@ -103,20 +103,23 @@ def _move(sizes: np.ndarray, where: np.ndarray, fills: np.ndarray, items: list[i
 
 
 def local_search(sizes: np.ndarray, where: np.ndarray, fills: np.ndarray, capacity: int) -> None:
-    """Empties containers by moves and exchanges, in place."""
-    least = -(-int(sizes.sum()) // capacity)
+    """Empties containers by moves and exchanges, in place, until none helps or the effort is spent."""
+    # No fewer can do: the total has to fit, and two items above half the capacity never share a container.
+    least = max(-(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
     stuck = np.zeros(len(fills), bool)
+    failed = 0
     for _ in range(EFFORT * len(fills)):
         if np.count_nonzero(fills) <= least:
             return
         candidates = np.flatnonzero((fills > 0) & (fills < capacity) & ~stuck)
-        if not len(candidates):
+        if not len(candidates) or failed > 2 * len(fills):
             return
         source = int(candidates[np.argmin(fills[candidates])])
-        if not _step(sizes, where, fills, source, capacity):
-            stuck[source] = True
-        elif fills[source] == 0:
+        if _step(sizes, where, fills, source, capacity):
             stuck[:] = False
+        else:
+            stuck[source] = True
+            failed += 1
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
