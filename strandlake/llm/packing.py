@@ -22,6 +22,8 @@ from strandlake.llm.tokens import with_sizes
 
 #: Items of a shard.
 SHARD_ITEMS = 10_000
+#: Most tasks that pack shards. The rows are few and small but costly, so that their bytes alone would give one task.
+TASKS = 10_000
 #: Steps of the search for each container, and how far apart in a container two items exchanged for one may stand.
 EFFORT, REACH = 20, 16
 
@@ -193,4 +195,5 @@ def fill_containers(
     shards = max(1, -(-docs.count() // shard_items))
     sizes = with_sizes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"])
     dealt = sizes.mapInArrow(_deal(shards), "doc_id long, n_tokens long, shard long")
+    dealt = dealt.repartition(min(shards, TASKS), "shard")
     return dealt.groupBy("shard").applyInArrow(_pack_shard(capacity), _OUT)
