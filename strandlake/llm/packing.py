@@ -24,8 +24,9 @@ from strandlake.llm.tokens import with_sizes
 SHARD_ITEMS = 10_000
 #: Most tasks that pack shards. The rows are few and small but costly, so that their bytes alone would give one task.
 TASKS = 10_000
-#: Steps of the search for each container, and how far apart in a container two items exchanged for one may stand.
-EFFORT, REACH = 20, 16
+#: Steps of the search for each container, failures after which it ends, and how far apart in a container two items
+#: exchanged for one may stand.
+EFFORT, FAILURES, REACH = 20, 200, 16
 
 _OUT = "container_id long, doc_id long, piece int, token_start long, n_tokens int, fill int, is_split boolean"
 
@@ -114,7 +115,7 @@ def local_search(sizes: np.ndarray, where: np.ndarray, fills: np.ndarray, capaci
         if np.count_nonzero(fills) <= least:
             return
         candidates = np.flatnonzero((fills > 0) & (fills < capacity) & ~stuck)
-        if not len(candidates) or failed > 2 * len(fills):
+        if not len(candidates) or failed > FAILURES:
             return
         source = int(candidates[np.argmin(fills[candidates])])
         if _step(sizes, where, fills, source, capacity):
