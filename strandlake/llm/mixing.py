@@ -156,7 +156,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0) -> Mix:
         (F.coalesce(F.sum("rates").over(before), F.lit(0)) + F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(unit)))
         .alias("begin"),
     )
-    upto = Window.partitionBy(*block).orderBy("h", "row").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*block).orderBy("n_tokens", "h", "row").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("begin") + F.col("upto")
     draw = (
         docs_rated.withColumn("upto", F.sum("rate").over(upto)).join(begins, block)
