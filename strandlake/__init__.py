@@ -1,3 +1,10 @@
 """Sequence-sketch analytics on Spark: sketching, indexing, classification."""
 
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to the executors carry their code with them: nothing has to be installed there but Spark's own needs.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

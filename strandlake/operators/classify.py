@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import isfinite
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.encoding import score
@@ -20,6 +20,7 @@ from strandlake.runtime import small
 
 #: Lowest score reported; the wide form knows only this one.
 THRESHOLD, POOLED_THRESHOLD = 0.1, 0.05
+_TOTALS = ((FORWARD, "fwd_total"), (REVERSE, "rc_total"))
 
 
 def check_threshold(threshold: float) -> None:
@@ -28,11 +29,20 @@ def check_threshold(threshold: float) -> None:
 
 
 def query_sketch(
-    reads: DataFrame, params: SketchParams, pair: str | None = None, negative: DataFrame | None = None, query: str = "id"
+    reads: DataFrame,
+    params: SketchParams,
+    pair: str | None = None,
+    negative: DataFrame | None = None,
+    query: str = "id",
+    unique_ids: bool = False,
 ) -> DataFrame:
-    """``query_id``, ``strand``, ``minimizer``, distinct within each read; without the minimizers of ``negative``."""
+    """``query_id``, ``strand``, ``minimizer``, distinct within each read; without the minimizers of ``negative``.
+
+    If ids are known to be unique and nothing is filtered, each row has the ``total`` of its read and strand, and
+    :func:`scores` needs no second pass over the reads for it.
+    """
     renamed = reads.withColumnRenamed(query, "query_id")
-    sketch = minimizers(renamed, params, ["query_id"], pair=pair)
+    sketch = minimizers(renamed, params, ["query_id"], pair=pair, totals=unique_ids and negative is None)
     if negative is None:
         return sketch
     return sketch.join(negative.select("minimizer").distinct(), "minimizer", "left_anti").select(*sketch.columns)
@@ -46,23 +56,40 @@ def query_totals(sketch: DataFrame) -> DataFrame:
     )
 
 
-def hit_counts(sketch: DataFrame, index: DataFrame) -> DataFrame:
-    """``query_id``, ``bucket_id``, ``fwd_hits``, ``rc_hits`` of every pair with at least one hit."""
-    joined = sketch.join(index.select("minimizer", "bucket_id"), "minimizer")
-    return joined.groupBy("query_id", "bucket_id").agg(
+def _meet(sketch: DataFrame, index: DataFrame) -> DataFrame:
+    """The join of minimizers with the buckets that hold them.
+
+    A hash join of shuffled partitions, the index being hashed: a minimizer has at most as many entries as there are
+    buckets, while minimizers of very many reads are split by adaptive execution. Left to itself the planner
+    broadcasts whichever side is small in bytes and then runs the join, whose result is far larger than its
+    inputs, in as few tasks as the other side had.
+    """
+    return sketch.join(index.select("minimizer", "bucket_id").hint("shuffle_hash"), "minimizer")
+
+
+def _hit_counts(sketch: DataFrame, index: DataFrame, more: Sequence[Column] = ()) -> DataFrame:
+    return _meet(sketch, index).groupBy("query_id", "bucket_id").agg(
         F.count(F.when(F.col("strand") == FORWARD, 1)).alias("fwd_hits"),
         F.count(F.when(F.col("strand") == REVERSE, 1)).alias("rc_hits"),
+        *more,
     )
 
 
+def hit_counts(sketch: DataFrame, index: DataFrame) -> DataFrame:
+    """``query_id``, ``bucket_id``, ``fwd_hits``, ``rc_hits`` of every pair with at least one hit."""
+    return _hit_counts(sketch, index)
+
+
 def scores(sketch: DataFrame, index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``query_id``, ``bucket_id``, ``score`` of the pairs with a hit and at least ``threshold``."""
     check_threshold(threshold)
     value = score(F.col("fwd_hits"), F.col("fwd_total"), F.col("rc_hits"), F.col("rc_total"))
-    return (
-        hit_counts(sketch, index).join(query_totals(sketch), "query_id")
-        .select("query_id", "bucket_id", value.alias("score")).where(F.col("score") >= threshold)
-    )
+    if "total" in sketch.columns:  # of a strand without hits it isn't known, nor needed
+        counted = _hit_counts(sketch, index, [F.max(F.when(F.col("strand") == s, F.col("total"))).alias(n) for s, n in _TOTALS])
+        counted = counted.fillna(0, [n for _, n in _TOTALS])
+    else:
+        counted = hit_counts(sketch, index).join(query_totals(sketch), "query_id")
+    return counted.select("query_id", "bucket_id", value.alias("score")).where(F.col("score") >= threshold)
 
 
 def best_hits(hits: DataFrame) -> DataFrame:
@@ -86,13 +113,15 @@ def classify(
     pair: str | None = None,
     negative: DataFrame | None = None,
     best_hit: bool = False,
+    unique_ids: bool = False,
 ) -> DataFrame:
     """Hits of ``reads`` (``id``, ``sequence`` [, mate]): ``query_id``, ``bucket_id``, ``score``.
 
-    ``id`` names a read; rows of the same id are pooled, so give one row per id. Reads without minimizers, or
-    whose minimizers are all in ``negative``, have no hits. ``best_hit`` is taken among the hits that reach the threshold.
+    ``id`` names a read; rows of the same id are pooled, each counting with all its minimizers. ``unique_ids`` tells that there
+    is one row per id, which saves a pass. Reads without minimizers, or whose minimizers are all in ``negative``, have no
+    hits. ``best_hit`` is taken among the hits that reach the threshold.
     """
-    hits = scores(query_sketch(reads, params, pair, negative), index, threshold)
+    hits = scores(query_sketch(reads, params, pair, negative, unique_ids=unique_ids), index, threshold)
     return best_hits(hits) if best_hit else hits
 
 
@@ -128,7 +157,7 @@ def aggregate(
     check_threshold(threshold)
     sketch = query_sketch(reads, params, pair, negative).select("strand", "minimizer").distinct()
     totals = sketch.groupBy("strand").agg(F.count(F.lit(1)).alias("total"))  # two rows at most
-    counts = sketch.join(index.select("minimizer", "bucket_id"), "minimizer").groupBy("bucket_id", "strand").count()
+    counts = _meet(sketch, index).groupBy("bucket_id", "strand").count()
     return (
         counts.join(F.broadcast(totals), "strand")
         .groupBy("bucket_id").agg(F.max(F.col("count") / F.col("total")).alias("score"))
@@ -145,7 +174,7 @@ def hitting_minimizers(sketch: DataFrame, index: DataFrame) -> DataFrame:
 
 def bucket_hits(minimizer_list: DataFrame, index: DataFrame) -> DataFrame:
     """``bucket_id``, ``n``: how many of the minimizers, repeats counted, each bucket has."""
-    joined = minimizer_list.select("minimizer").join(index.select("minimizer", "bucket_id"), "minimizer")
+    joined = _meet(minimizer_list.select("minimizer"), index)
     return joined.groupBy("bucket_id").agg(F.count(F.lit(1)).alias("n"))
 
 

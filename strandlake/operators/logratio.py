@@ -31,6 +31,7 @@ def log_ratio(
     params: SketchParams,
     skip: float | None = None,
     pair: str | None = None,
+    unique_ids: bool = False,
 ) -> DataFrame:
     """``query_id``, ``numerator``, ``denominator`` (null if not looked at), ``log_ratio``, ``fast_path`` of every read.
 
@@ -38,25 +39,29 @@ def log_ratio(
     with the denominator; its ratio is Infinity and its path ``num_high``. One row per distinct non-null id.
     """
     check_skip(skip)
-    sketch = query_sketch(reads, params, pair)
-    num = scores(sketch, numerator, 0.0).select("query_id", F.col("score").alias("numerator"))
-    base = (
-        reads.where(F.col("id").isNotNull()).select(F.col("id").alias("query_id")).distinct().join(num, "query_id", "left")
-        .fillna(0.0, ["numerator"])
-    )
-    high = F.lit(False)
-    if skip is not None and skip > 0:
+    sketch = query_sketch(reads, params, pair, unique_ids=unique_ids)
+    every = reads.where(F.col("id").isNotNull()).select(F.col("id").alias("query_id")).distinct()
+    if skip is None or skip <= 0:
+        # Both references in one pass over the reads, as two buckets.
+        sides = [i.select("minimizer", F.lit(k).alias("bucket_id")) for k, i in enumerate((numerator, denominator))]
+        both = scores(sketch, sides[0].unionByName(sides[1]).distinct(), 0.0)
+        found = both.groupBy("query_id").agg(
+            *[F.max(F.when(F.col("bucket_id") == k, F.col("score"))).alias(n) for k, n in enumerate(("numerator", "denominator"))]
+        )
+        high = F.lit(False)
+        joined = every.join(found, "query_id", "left").fillna(0.0, ["numerator"])
+    else:
+        num = scores(sketch, numerator, 0.0).select("query_id", F.col("score").alias("numerator"))
         high = F.col("numerator") >= skip
-        fast = num.where(high).select("query_id")
-        sketch = sketch.join(fast, "query_id", "left_anti")
-    den = scores(sketch, denominator, 0.0).select("query_id", F.col("score").alias("denominator"))
-    joined = base.join(den, "query_id", "left")
-    shown = F.when(~high, F.coalesce("denominator", F.lit(0.0)))
+        rest = sketch.join(num.where(high).select("query_id"), "query_id", "left_anti")
+        den = scores(rest, denominator, 0.0).select("query_id", F.col("score").alias("denominator"))
+        joined = every.join(num, "query_id", "left").fillna(0.0, ["numerator"]).join(den, "query_id", "left")
+    shown = F.coalesce("denominator", F.lit(0.0))
     return joined.select(
         "query_id",
         "numerator",
-        shown.alias("denominator"),
-        F.when(high, F.lit(float("inf"))).otherwise(ratio("numerator", F.coalesce("denominator", F.lit(0.0)))).alias("log_ratio"),
+        F.when(~high, shown).alias("denominator"),
+        F.when(high, F.lit(float("inf"))).otherwise(ratio("numerator", shown)).alias("log_ratio"),
         F.when(high, HIGH_NUMERATOR).otherwise(NO_PATH).alias("fast_path"),
     )
 

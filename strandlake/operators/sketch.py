@@ -47,15 +47,18 @@ def minimizers(
     sequence: str = "sequence",
     pair: str | None = None,
     strands: Sequence[int] = BOTH,
+    totals: bool = False,
 ) -> DataFrame:
     """One row per row, strand and distinct minimizer: ``keep`` .., ``strand`` INT, ``minimizer`` LONG.
 
+    ``totals`` adds ``total`` INT, the size of the set that the minimizer belongs to.
+
     Strand 0 is the sequence as given, 1 its reverse complement; with ``pair``, each strand also has the other
     strand of the mate. Letters that are no A, C, G or T end a run; runs below k+w-1 letters, empty and null
     sequences have no minimizers, a null mate adds none. Each row has its own sketch, also if rows
     repeat. Columns other than ``keep`` are not read. Minimizers carry unsigned 64-bit patterns.
     """
-    names = [*keep, "strand", "minimizer"]
+    names = [*keep, "strand", "minimizer", *["total"] * totals]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,11 +68,13 @@ def minimizers(
                     continue
                 at = pa.array(row)
                 kept = [batch.column(c).take(at) for c in keep]
-                code = pa.array(np.full(len(row), strand, np.int32))
-                yield pa.RecordBatch.from_arrays([*kept, code, pa.array(hashes.view(np.int64))], names=names)
+                kept += [pa.array(np.full(len(row), strand, np.int32)), pa.array(hashes.view(np.int64))]
+                if totals:
+                    kept.append(pa.array(np.bincount(row)[row].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(kept, names=names)
 
     picked = _pick(df, keep, sequence, pair)
-    return picked.mapInArrow(run, _schema(df, keep, "strand int, minimizer long"))
+    return picked.mapInArrow(run, _schema(df, keep, "strand int, minimizer long" + ", total int" * totals))
 
 
 def minimizer_sets(

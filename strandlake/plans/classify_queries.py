@@ -12,7 +12,7 @@ from strandlake.operators import index as ix
 from strandlake.operators import logratio as lr
 from strandlake.operators import orientation as ori
 from strandlake.operators.sketch import minimizers
-from strandlake.plans.sketch_queries import SMALL, features_of, reads_of
+from strandlake.plans.sketch_queries import SMALL, bucket_ids, features_of, reads_of
 from strandlake.runtime import small, table
 
 #: Buckets whose name ends so are the negative reference and one side of merges and log-ratios.
@@ -124,12 +124,11 @@ def hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classify(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return c.classify(reads_of(spark, sf_dir), _index(spark, sf_dir), SMALL, **options)
+    return c.classify(reads_of(spark, sf_dir), _index(spark, sf_dir), SMALL, unique_ids=True, **options)
 
 
 def classify_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    buckets = features_of(spark, sf_dir).select("bucket_id", "bucket_name").distinct()
-    return c.named(_classify(spark, sf_dir), buckets)
+    return c.named(_classify(spark, sf_dir), bucket_ids(spark, sf_dir))
 
 
 def classify_threshold_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +217,7 @@ def orient_growing_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _log_ratio(spark: SparkSession, sf_dir: str, skip: float | None) -> DataFrame:
     plasmids, others = _sides(spark, sf_dir)
-    return lr.log_ratio(reads_of(spark, sf_dir), _pooled(plasmids), _pooled(others), SMALL, skip)
+    return lr.log_ratio(reads_of(spark, sf_dir), _pooled(plasmids), _pooled(others), SMALL, skip, unique_ids=True)
 
 
 def _shown(ratios: DataFrame) -> DataFrame:
