@@ -135,7 +135,7 @@ def _repeated(rows: DataFrame, keys: Sequence[str], unique: Sequence[str], share
     )
     if not heavy["__h"]:
         return light
-    dense = rows.where(hot)
+    dense = cut(rows.where(hot))  # read twice below
     shared = dense.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(*keys)
     dense = dense.join(F.broadcast(shared), list(keys), "left_semi").select(*names)
     return light.unionByName(dense.dropDuplicates([*keys, *unique]))
