@@ -21,7 +21,8 @@ PLASMID = "%plasmid"
 EDGE, SKIP = 0.25, 0.1
 #: The pooled index of a log-ratio has one bucket.
 POOLED = 1
-WIDE_BUCKETS = range(1, 65)
+#: Bucket columns that the wide form has at least, as its SQL lists them; more buckets have more columns.
+WIDE_LEAST = 64
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +155,9 @@ def classify_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.wide(_classify(spark, sf_dir, threshold=0.0), WIDE_BUCKETS)
+    """A column for every bucket of the data, whose ids go from 1 without gaps."""
+    highest = bucket_ids(spark, sf_dir).agg(F.max("bucket_id")).first()[0] or 0
+    return c.wide(_classify(spark, sf_dir, threshold=0.0), range(1, max(WIDE_LEAST, highest) + 1))
 
 
 def classify_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,23 @@ def test_best_hits(spark):
     assert {r["bucket_name"] for r in classify.named(hits, names).collect()} == {"five", "unknown"}
 
 
+def test_wide_has_every_bucket(spark, tmp_path):
+    """More buckets than the 64 columns of the SQL; each read is a feature whole."""
+    from strandlake.plans.classify_queries import classify_wide
+
+    texts = [(i, dna(100 + i, 120)) for i in range(1, 71)]
+    tables = {
+        "genome_chunks": ([(i, 0, t) for i, t in texts], "feature_idx long, chunk_index int, chunk_data string"),
+        "feature_map": ([(i, f"bucket {i:03}") for i, _ in texts], "feature_idx long, bucket_name string"),
+        "read_records": ([(i, f"r{i}", t, None, None) for i, t in texts], "id long, read_id string, sequence string, pair_sequence string, received_at timestamp"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = classify_wide(spark, str(tmp_path))
+    assert got.columns == ["query_id", *(f"bucket_{b}" for b in range(1, 71))]
+    assert all(r[f"bucket_{r['query_id']}"] == 1.0 for r in got.collect()) and got.count() == 70
+
+
 def test_aggregate_is_a_pooled_read(spark, refs):
     built = index.build_index(refs, P)
     query = reads(spark, (1, dna(1, 200), None), (2, dna(3, 200), None), (3, dna(1, 200), None))
