@@ -24,9 +24,8 @@ from strandlake.llm.tokens import with_sizes
 SHARD_ITEMS = 10_000
 #: Most tasks that pack shards. The rows are few and small but costly, so that their bytes alone would give one task.
 TASKS = 10_000
-#: Steps of the search for each container, failures after which it ends, and how far apart in a container two items
-#: exchanged for one may stand.
-EFFORT, FAILURES, REACH = 20, 200, 16
+#: Steps of the search for each container, and how far apart in a container two items exchanged for one may stand.
+EFFORT, REACH = 20, 16
 
 _OUT = "container_id long, doc_id long, piece int, token_start long, n_tokens int, fill int, is_split boolean"
 
@@ -56,10 +55,12 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
     return where, fills
 
 
-def _step(sizes: np.ndarray, where: np.ndarray, fills: np.ndarray, source: int, capacity: int) -> bool:
-    """One improving move of an item out of ``source``; False if there is none."""
+def _step(
+    sizes: np.ndarray, where: np.ndarray, fills: np.ndarray, source: int, capacity: int, among: np.ndarray | bool = True
+) -> bool:
+    """One improving move of an item out of ``source`` into one of ``among``; False if there is none."""
     free = capacity - fills
-    open_bins = np.flatnonzero((free > 0) & (fills > 0) & (fills >= fills[source]))
+    open_bins = np.flatnonzero((free > 0) & (fills > 0) & (fills >= fills[source]) & among)
     open_bins = open_bins[open_bins != source]
     if not len(open_bins):
         return False
@@ -106,23 +107,29 @@ def _move(sizes: np.ndarray, where: np.ndarray, fills: np.ndarray, items: list[i
 
 
 def local_search(sizes: np.ndarray, where: np.ndarray, fills: np.ndarray, capacity: int) -> None:
-    """Empties containers by moves and exchanges, in place, until none helps or the effort is spent."""
+    """Empties containers by moves and exchanges, in place, until none helps or the effort is spent.
+
+    A container that failed is tried again with only those that changed since; the others still offer it nothing.
+    """
     # No fewer can do: the total has to fit, and two items above half the capacity never share a container.
     least = max(-(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
-    stuck = np.zeros(len(fills), bool)
-    failed = 0
+    # By container: the step that changed it last, and the steps done when it failed, -1 if it has changed since.
+    changed, failed = np.zeros(len(fills), np.int64), np.full(len(fills), -1)
+    steps = 0
     for _ in range(EFFORT * len(fills)):
         if np.count_nonzero(fills) <= least:
             return
-        candidates = np.flatnonzero((fills > 0) & (fills < capacity) & ~stuck)
-        if not len(candidates) or failed > FAILURES:
+        candidates = np.flatnonzero((fills > 0) & (fills < capacity) & (failed < steps))
+        if not len(candidates):
             return
         source = int(candidates[np.argmin(fills[candidates])])
-        if _step(sizes, where, fills, source, capacity):
-            stuck[:] = False
+        before = fills.copy()
+        if _step(sizes, where, fills, source, capacity, changed > failed[source]):
+            steps += 1
+            moved = fills != before
+            changed[moved], failed[moved] = steps, -1
         else:
-            stuck[source] = True
-            failed += 1
+            failed[source] = steps
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:

@@ -66,6 +66,13 @@ def test_steps_raise_squares(x, others):
     assert (fills**2).sum() > before and (fills <= 15).all()
 
 
+def test_search_goes_on_after_failures():
+    sizes = np.random.default_rng(0).integers(300, 1101, 1000)
+    where = packing.pack(sizes, 2048)
+    assert np.bincount(where, weights=sizes).max() <= 2048
+    assert where.max() + 1 <= 353  # 355 if it ends after 200 failures in all
+
+
 def test_containers(spark):
     rng = random.Random(1)
     texts = ["w " * rng.choice([1, 30, 70, 100, 101, 250, 1000]) for _ in range(300)] + [None, "", " \n", "w " * 100_000, "x"]
