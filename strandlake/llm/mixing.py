@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ from strandlake.runtime import cut, require_columns, small
 
 #: Rounds of raking, and the relative change at which it ends.
 ROUNDS, TOLERANCE = 200, 1e-10
-#: Languages and topics kept apart, largest first; the rest of each counts as one. They bound the cells.
-LANGUAGES, TOPICS, SOURCES = 100, 50, 1_000
+#: Languages kept apart, largest first; the rest counts as one. Topics are all kept apart.
+LANGUAGES, SOURCES = 100, 1_000
 #: Rates are whole multiples of 2**-UNIT, so that sums don't depend on their order.
 UNIT = 20
 #: Documents that one task samples.
@@ -122,28 +123,24 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0) -> Mix:
     if len(wanted) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
     names = {r["source"]: i for i, r in enumerate(wanted)}
-    languages, topics = _largest(sizes, "lang", LANGUAGES), _largest(sizes, "topic", TOPICS)
-    folded = sizes.withColumns({"lang": _fold("lang", languages), "topic": _fold("topic", topics)})
+    languages = _largest(sizes, "lang", LANGUAGES)
+    folded = sizes.withColumns({"lang": _fold("lang", languages), "topic": F.coalesce("topic", F.lit(""))})
     total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     drawn_from = folded.where(F.col("source").isin(list(names))) if names else folded.limit(0)
-    # At most SOURCES x (LANGUAGES + 1) x (TOPICS + 1) cells, most of them absent.
-    cells = drawn_from.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
-    index = [{x: i for i, x in enumerate([*kept, ""])} for kept in (languages, topics)]
-    tokens = np.array([r["n"] for r in cells], float)
-    source = np.array([names[r["source"]] for r in cells], int)
+    # One row for each source, language and topic that occur together, in columns to keep them small.
+    cells = drawn_from.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).toArrow()
+    tokens = cells["n"].to_numpy().astype(float)
+    source = np.array([names[x] for x in cells["source"].to_pylist()], int)
     share = np.array([r["target_share"] for r in wanted], float)
     caps = np.array([r["max_repeats"] for r in wanted], float)
-    others = [np.array([ix[r[c]] for r in cells], int) for ix, c in zip(index, ("lang", "topic"), strict=True)]
+    others = [cells[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lang", "topic")]
     rate = rake(tokens, source, others, share * total, caps)
     available = np.bincount(source, weights=tokens, minlength=len(wanted))
 
     unit = 1 << UNIT
-    rows = [
-        (r["source"], r["lang"], r["topic"], min(round(float(x) * unit), int(caps[s]) * unit))
-        for r, x, s in zip(cells, rate, source, strict=True)
-    ]
-    rates = spark.createDataFrame(rows, "source string, lang string, topic string, rate long")
-    blocks = max(1, -(-sum(r["docs"] for r in cells) // BLOCK))
+    units = np.minimum(np.round(rate * unit), caps[source] * unit).astype(np.int64)
+    rates = spark.createDataFrame(cells.select(["source", "lang", "topic"]).append_column("rate", pa.array(units)))
+    blocks = max(1, -(-int(cells["docs"].to_numpy().sum()) // BLOCK))
     docs_rated = drawn_from.join(small(rates.where("rate > 0"), 1_000_000), ["source", "lang", "topic"]).select(
         "doc_id", "source", "n_tokens", "row", "rate",
         F.floor(F.log2(F.col("n_tokens") + 1) * 4).cast("int").alias("class"),

@@ -191,6 +191,17 @@ def test_mix(spark, mixed):
     assert again[key].sort_values(key).values.tolist().__repr__() == draw[key].sort_values(key).values.tolist().__repr__()
 
 
+def test_mix_holds_every_topic(spark):
+    """60 topics; the ten smallest lie in one source each, five in a, which is drawn less, and five in b."""
+    places = [(s, f"t{t:02}") for t in range(50) for s in "ab" for _ in range(30)]
+    places += [("a" if t < 55 else "b", f"t{t}") for t in range(50, 60) for _ in range(40)]
+    rows = [(i, "w w w w", s, "x", f"{t}/f") for i, (s, t) in enumerate(places)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, file_path string")
+    goals = spark.createDataFrame([("a", 0.2, 1), ("b", 0.8, 2)], "source string, target_share double, max_repeats int")
+    uses = {r["doc_id"]: r["uses"] for r in mixing.mix(df, goals).draw.collect()}
+    assert sum(n for i, n in uses.items() if places[i][0] == "a" and places[i][1] >= "t50") >= 190  # of 200
+
+
 def test_mix_of_nothing(spark, mixed):
     goals = spark.createDataFrame([("a", 1.0, None), ("b", None, 2)], "source string, target_share double, max_repeats int")
     for docs, targets in ((mixed.limit(0), goals), (mixed, goals), (mixed, goals.limit(0))):
