@@ -175,7 +175,7 @@ def grouped_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of both strands of every feature in the sketch of the first feature."""
+    """Hits of both strands of every feature in the sketch of the feature 1; none if it isn't whole or mapped."""
     return _pairs_with_first(spark, sf_dir).select(
         "feature_idx",
         count_hits("fwd_set", "base").cast("long").alias("hits"),
@@ -187,7 +187,8 @@ def set_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pairs_with_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = minimizer_sets(features_of(spark, sf_dir), SMALL, ["feature_idx"]).withColumn("of", F.lit(1))
     base = sets.where("feature_idx = 1").select(F.col("of"), F.col("fwd_set").alias("base"))
-    return sets.join(F.broadcast(base), "of")  # one row
+    joined = sets.join(F.broadcast(base), "of", "left")  # one row at most
+    return joined.withColumn("base", F.coalesce("base", F.array().cast("array<long>")))
 
 
 QUERIES = {

@@ -141,6 +141,16 @@ def test_wide_has_every_bucket(spark, tmp_path):
     assert all(r[f"bucket_{r['query_id']}"] == 1.0 for r in got.collect()) and got.count() == 70
 
 
+def test_intersections_without_feature_1(spark, tmp_path):
+    from strandlake.plans.sketch_queries import set_intersections
+
+    chunks_ = [(1, 1, dna(1, 90)), (2, 0, dna(2, 90)), (3, 0, dna(3, 90))]  # 1 has no start
+    spark.createDataFrame(chunks_, "feature_idx long, chunk_index int, chunk_data string").write.parquet(str(tmp_path / "genome_chunks.parquet"))
+    names = spark.createDataFrame([(i, "b") for i in (1, 2, 3)], "feature_idx long, bucket_name string")
+    names.write.parquet(str(tmp_path / "feature_map.parquet"))
+    assert {tuple(r) for r in set_intersections(spark, str(tmp_path)).collect()} == {(2, 0, 0, 0), (3, 0, 0, 0)}
+
+
 def test_aggregate_is_a_pooled_read(spark, refs):
     built = index.build_index(refs, P)
     query = reads(spark, (1, dna(1, 200), None), (2, dna(3, 200), None), (3, dna(1, 200), None))
