@@ -23,11 +23,11 @@ def baselines(features: DataFrame) -> DataFrame:
     return features.groupBy("bucket_id").agg(F.min("feature_idx").alias("feature_idx"))
 
 
-def choose_strands(sketches: DataFrame, first: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def choose_strands(sketches: DataFrame, first: DataFrame, sample: int = SAMPLE, several: bool = False) -> DataFrame:
     """The strand of every feature against the fixed baseline of its bucket.
 
     ``sketches`` has ``bucket_id``, ``feature_idx``, ``strand``, ``minimizer`` (distinct); ``first`` names each bucket's
-    baseline feature. Of both strands the n smallest minimizers (unsigned) are compared, n being the least of
+    baseline feature, or with ``several`` the features that make up its baseline. Of both strands the n smallest minimizers (unsigned) are compared, n being the least of
     ``sample`` and the sizes of the two; the reverse is chosen only if it shares more. Output: ``bucket_id``,
     ``feature_idx``, ``n_compared``, ``fwd_matches``, ``rc_matches``, ``strand``; baselines are forward.
     """
@@ -38,6 +38,8 @@ def choose_strands(sketches: DataFrame, first: DataFrame, sample: int = SAMPLE)
     rank = F.row_number().over(Window.partitionBy(*own, "strand").orderBy(unsigned_key("minimizer")))
     smallest = sketches.withColumn("rank", rank).where(F.col("rank") <= sample)
     base = sketches.where(F.col("strand") == FORWARD).join(first, own, "left_semi").select(*PAIR).withColumn("known", F.lit(1))
+    if several:
+        base = base.distinct()
     compared = smallest.join(totals, own).where(F.col("rank") <= F.least("nf", "nr")).join(base, [*PAIR], "left")
     matches = compared.groupBy(*own).agg(
         F.count(F.when(F.col("strand") == FORWARD, F.col("known"))).alias("fwd_matches"),
@@ -56,10 +58,15 @@ def choose_strands(sketches: DataFrame, first: DataFrame, sample: int = SAMPLE)
     )
 
 
-def build_oriented(features: DataFrame, params: SketchParams, sample: int = SAMPLE) -> DataFrame:
-    """The index of ``features`` (``bucket_id``, ``feature_idx``, ``sequence``), each on its chosen strand."""
+def build_oriented(
+    features: DataFrame, params: SketchParams, sample: int = SAMPLE, first: DataFrame | None = None
+) -> DataFrame:
+    """The index of ``features`` (``bucket_id``, ``feature_idx``, ``sequence``), each on its chosen strand.
+
+    ``first`` names the features of the baselines, else each bucket's first feature is its baseline.
+    """
     sketches = minimizers(features, params, ["bucket_id", "feature_idx"])
-    chosen = choose_strands(sketches, baselines(features), sample).select("bucket_id", "feature_idx", "strand")
+    chosen = choose_strands(sketches, baselines(features) if first is None else first, sample, first is not None).select("bucket_id", "feature_idx", "strand")
     return consolidate(sketches.join(chosen, ["bucket_id", "feature_idx", "strand"], "left_semi"))
 
 

@@ -11,7 +11,7 @@ from strandlake.functions.kernels import SketchParams
 from strandlake.operators import index as ix
 from strandlake.operators.chunks import bucket_ids
 from strandlake.operators.classify import aggregate
-from strandlake.operators.orientation import build_growing
+from strandlake.operators.orientation import build_growing, build_oriented
 from strandlake.runtime import small
 from strandlake.sources.fastx import numbered, read_fastx
 from strandlake.sources.store import StoredIndex, check_compatible, open_index, write_index
@@ -50,11 +50,21 @@ def create(spark: SparkSession, files: list[str], path: str, params: SketchParam
 
 
 def from_config(spark: SparkSession, config: IndexConfig, exclude: StoredIndex | None = None, orient: bool | None = None, **store) -> None:
-    """The index of a configuration; ids go by the names of the buckets."""
+    """The index of a configuration; ids go by the names of the buckets.
+
+    With orientation, a bucket grows sequence by sequence; if it is the only one, its first file goes in as it is and is
+    the baseline of the others.
+    """
     refs = _with_ids(references(spark, config.buckets))
     if config.orient if orient is None else orient:
         order = F.struct("file", "ordinal")
-        entries = build_growing(refs.withColumn("place", order), config.params, "place")
+        if len(config.buckets) == 1:
+            ((begin, *_),) = config.buckets.values()
+            placed = refs.withColumn("feature_idx", order)
+            first = placed.where(F.col("file") == begin).select("bucket_id", "feature_idx")
+            entries = build_oriented(placed, config.params, first=first)
+        else:
+            entries = build_growing(refs.withColumn("place", order), config.params, "place")
     else:
         entries = ix.build_index(refs, config.params)
     if exclude is not None:

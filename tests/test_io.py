@@ -201,6 +201,19 @@ def test_from_config(spark, files, tmp_path):
         store.check_compatible(stored, other)
 
 
+def test_from_config_of_one_bucket(spark, tmp_path):
+    """The first file goes in as read, also what would be turned; the second, first by name, is held against all of it."""
+    first, second, path = (str(tmp_path / n) for n in ("p.fa", "a.fa", "c.toml"))
+    for file, texts in ((first, (dna(3, 300), reverse(dna(3, 300)), dna(4, 300))), (second, (reverse(dna(4, 300)),))):
+        with open(file, "w") as f:
+            f.write("".join(f">s{i}\n{t}\n" for i, t in enumerate(texts)))
+    config.write_index_config(path, P, str(tmp_path / "idx"), {"b": [first, second]}, orient=True)
+    pipeline.from_config(spark, config.read_index_config(path))
+    got = store.open_index(spark, str(tmp_path / "idx")).entries.select("minimizer", "bucket_id")
+    forward = index.build_index(pipeline.references(spark, {"b": [first]}).withColumn("bucket_id", F.lit(1)), P)
+    assert forward.exceptAll(got).count() == 0 and got.count() <= forward.count() + 2
+
+
 def test_empty_and_foreign_index(spark, tmp_path):
     entries = spark.createDataFrame([], "minimizer long, bucket_id int")
     buckets = spark.createDataFrame([], "bucket_id int, bucket_name string, sources array<string>, file_stats_mean double")
