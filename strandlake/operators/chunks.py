@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.encoding import sanitize_bucket_name
-from strandlake.runtime import require_columns, small
+from strandlake.functions.kernels import SketchParams
+from strandlake.runtime import cut, discard, require_columns, small
+
+#: Most buckets of an index.
+MAX_BUCKETS = 100_000
 
 
 def chunk_report(chunks: DataFrame) -> DataFrame:
@@ -41,17 +45,21 @@ def chunk_report(chunks: DataFrame) -> DataFrame:
     )
 
 
+def _good(chunks: DataFrame, strict: bool) -> DataFrame:
+    report = chunk_report(chunks)
+    if strict:
+        bad = F.concat(F.lit("feature "), F.coalesce("feature_idx", F.lit("null")), F.lit(": "), F.col("status"))
+        report = report.where(F.when(F.col("status") == "ok", True).otherwise(F.raise_error(bad).cast("boolean")))
+    return report.where("status = 'ok'")
+
+
 def reassemble(chunks: DataFrame, strict: bool = False) -> DataFrame:
     """Whole features: ``feature_idx``, ``sequence``.
 
     Pieces may come in any order. A feature whose state by :func:`chunk_report` isn't ``ok`` is left out, or,
     with ``strict``, is an error when it is reached. A feature is one value, so it is put together in one task.
     """
-    report = chunk_report(chunks)
-    if strict:
-        bad = F.concat(F.lit("feature "), F.coalesce("feature_idx", F.lit("null")), F.lit(": "), F.col("status"))
-        report = report.where(F.when(F.col("status") == "ok", True).otherwise(F.raise_error(bad).cast("boolean")))
-    good = report.where("status = 'ok'").select("feature_idx")
+    good = _good(chunks, strict).select("feature_idx")
     return (
         chunks.join(good, "feature_idx", "left_semi")
         .groupBy("feature_idx")
@@ -84,20 +92,49 @@ def feature_buckets(mapping: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def bucket_ids(names: DataFrame) -> DataFrame:
-    """``bucket_name``, ``bucket_id`` from 1 in the order of the names (by bytes). There are at most 100,000 buckets."""
+    """``bucket_name``, ``bucket_id`` from 1 in the order of the names (by bytes). More than 100,000 buckets are an error."""
     distinct = names.select("bucket_name").where("bucket_name IS NOT NULL").distinct()
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("bucket_name"))
-    return distinct.withColumn("bucket_id", rank)
+    listed = distinct.limit(MAX_BUCKETS + 1).toArrow()["bucket_name"].to_pylist()
+    if len(listed) > MAX_BUCKETS:
+        raise ValueError(f"there are more than {MAX_BUCKETS} buckets")
+    ids = [(name, i) for i, name in enumerate(sorted(listed), 1)]
+    return names.sparkSession.createDataFrame(ids, "bucket_name string, bucket_id int")
+
 
+def overlapping_pieces(chunks: DataFrame, params: SketchParams, strict: bool = False) -> DataFrame:
+    """The pieces of whole features, each with the letters that follow it: ``feature_idx``, ``chunk_index``, ``sequence``.
 
-def features_in_buckets(chunks: DataFrame, mapping: DataFrame, strict: bool = False) -> DataFrame:
+    With k + w - 2 letters of what follows, every window of a feature is in the piece it starts in, so that the sketches of
+    the pieces make up that of the feature, and a feature is never put together. Pieces may be short or empty: the heads
+    that follow are joined by doubling, until they are long enough or end with the feature. Features as in :func:`reassemble`.
+    """
+    need, place = params.k + params.w - 2, ["feature_idx", "chunk_index"]
+    good = small(_good(chunks, strict).select("feature_idx", (F.col("n_chunks") - 1).alias("last")))
+    pieces = chunks.join(good, "feature_idx").select(*place, "last", "chunk_data")
+    heads = cut(pieces.select(*place, "last", F.substring("chunk_data", 1, need).alias("head")))
+    step = 1
+    while not heads.where((F.length("head") < need) & (F.col("chunk_index") + step <= F.col("last"))).isEmpty():
+        after = heads.select("feature_idx", (F.col("chunk_index") - step).alias("chunk_index"), F.col("head").alias("more"))
+        joined = F.substring(F.concat("head", F.coalesce("more", F.lit(""))), 1, need)
+        longer = cut(heads.join(after, place, "left").select(*place, "last", joined.alias("head")))
+        discard(heads)
+        heads, step = longer, 2 * step
+    tails = heads.select("feature_idx", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("head").alias("tail"))
+    whole = F.concat("chunk_data", F.coalesce("tail", F.lit("")))
+    return pieces.join(tails, place, "left").select(*place, whole.alias("sequence"))
+
+
+def features_in_buckets(
+    chunks: DataFrame, mapping: DataFrame, strict: bool = False, pieces_for: SketchParams | None = None
+) -> DataFrame:
     """Whole features with their bucket: ``feature_idx``, ``sequence``, ``bucket_name``, ``bucket_id``.
 
-    Features without a bucket are left out or, with ``strict``, are an error.
+    Features without a bucket are left out or, with ``strict``, are an error. With ``pieces_for``, a feature comes as its
+    :func:`overlapping_pieces`, enough for sketches with these parameters.
     """
-    named = feature_buckets(mapping, strict)
-    named = named.join(small(bucket_ids(named)), "bucket_name")
-    features = reassemble(chunks, strict)
+    named = small(feature_buckets(mapping, strict))
+    named = small(named.join(small(bucket_ids(named)), "bucket_name"))
+    features = reassemble(chunks, strict) if pieces_for is None else overlapping_pieces(chunks, pieces_for, strict).drop("chunk_index")
     if not strict:
         return features.join(named, "feature_idx")
     unmapped = F.raise_error(F.concat(F.lit("feature without a bucket: "), "feature_idx")).cast("int")
@@ -111,9 +148,9 @@ def split_into_buckets(files: DataFrame, n: int, path: str = "file_path", label:
     its order is made in one task.
     """
     if n < 1:
-        raise ValueError("Number of buckets must be at least 1")
+        raise ValueError("files can be dealt to one bucket or more")
     total = files.count()
     if n > total:
-        raise ValueError(f"Number of buckets ({n}) exceeds number of files ({total})")
+        raise ValueError(f"{total} files don't fill {n} buckets")
     part = F.ntile(n).over(Window.partitionBy(F.lit(0)).orderBy(label, path))
     return files.withColumn("bucket_name", F.concat(F.lit("bucket_"), part - 1))

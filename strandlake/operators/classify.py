@@ -1,8 +1,9 @@
 """Scoring reads against an index: one equi-join of distinct minimizers, counted.
 
-The sketch of a read is joined on the minimizer; the join's keys are distinct on either side up to the number of
-buckets, and minimizers that very many reads share are handled by adaptive skew joins. Totals are counted before the join, after
-the negative filter.
+The sketch of a read is joined on the minimizer. A small index is broadcast, so that hits are counted where the reads were
+sketched and only the counts are shuffled; a large one is joined by shuffled partitions, where minimizers that very many reads
+share are split by adaptive execution. Totals are counted before the join, after the negative filter. Indices that are known to
+have other parameters than the reads' sketch are refused.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.encoding import score
 from strandlake.functions.kernels import FORWARD, REVERSE, SketchParams
-from strandlake.operators.sketch import minimizers
-from strandlake.runtime import small
+from strandlake.operators.sketch import minimizers, require_params
+from strandlake.runtime import cut, partitions, settled, small
 
+#: Entries of an index up to which it is broadcast, and those of a partition up to which it is hashed.
+BROADCAST_ENTRIES, HASHED_ENTRIES = 2_000_000, 2_000_000
 #: Lowest score reported; the wide form knows only this one.
 THRESHOLD, POOLED_THRESHOLD = 0.1, 0.05
 _TOTALS = ((FORWARD, "fwd_total"), (REVERSE, "rc_total"))
@@ -45,6 +48,7 @@ def query_sketch(
     sketch = minimizers(renamed, params, ["query_id"], pair=pair, totals=unique_ids and negative is None)
     if negative is None:
         return sketch
+    require_params(negative, params)
     return sketch.join(negative.select("minimizer").distinct(), "minimizer", "left_anti").select(*sketch.columns)
 
 
@@ -57,14 +61,17 @@ def query_totals(sketch: DataFrame) -> DataFrame:
 
 
 def _meet(sketch: DataFrame, index: DataFrame) -> DataFrame:
-    """The join of minimizers with the buckets that hold them.
+    """The join of minimizers with the buckets that hold them, its way chosen by the counted size of the index.
 
-    A hash join of shuffled partitions, the index being hashed: a minimizer has at most as many entries as there are
-    buckets, while minimizers of very many reads are split by adaptive execution. Left to itself the planner
-    broadcasts whichever side is small in bytes and then runs the join, whose result is far larger than its
-    inputs, in as few tasks as the other side had.
+    Up to BROADCAST_ENTRIES the index is broadcast. Up to HASHED_ENTRIES for each shuffle partition its partitions are hashed, as
+    the planner, left to itself, broadcasts whichever side is small in bytes and then runs the join, whose result is far
+    larger than its inputs, in as few tasks as the other side had. A larger index is sorted, which may spill.
     """
-    return sketch.join(index.select("minimizer", "bucket_id").hint("shuffle_hash"), "minimizer")
+    entries = settled(index.select("minimizer", "bucket_id"))
+    n = entries.count()
+    fits = n <= HASHED_ENTRIES * partitions(index.sparkSession)
+    how = "broadcast" if n <= BROADCAST_ENTRIES else "shuffle_hash" if fits else "merge"
+    return sketch.join(entries.hint(how), "minimizer")
 
 
 def _hit_counts(sketch: DataFrame, index: DataFrame, more: Sequence[Column] = ()) -> DataFrame:
@@ -121,6 +128,7 @@ def classify(
     is one row per id, which saves a pass. Reads without minimizers, or whose minimizers are all in ``negative``, have no
     hits. ``best_hit`` is taken among the hits that reach the threshold.
     """
+    require_params(index, params)
     hits = scores(query_sketch(reads, params, pair, negative, unique_ids=unique_ids), index, threshold)
     return best_hits(hits) if best_hit else hits
 
@@ -134,12 +142,18 @@ def named(hits: DataFrame, buckets: DataFrame) -> DataFrame:
 
 
 def wide(hits: DataFrame, bucket_ids: Sequence[int]) -> DataFrame:
-    """One row per query with a hit, one column ``bucket_<id>`` per bucket in rising order, 0.0 without a hit."""
+    """One row per query with a hit, one column ``bucket_<id>`` per bucket in rising order, 0.0 without a hit.
+
+    The scores of a query are gathered in a map (it has at most one of each bucket; of repeated ones the highest stays), from
+    which the columns are read, so that the aggregate doesn't grow with the number of buckets. Rows with a null bucket add nothing.
+    """
     ids = sorted(set(bucket_ids))
-    columns = [
-        F.coalesce(F.max(F.when(F.col("bucket_id") == b, F.col("score"))), F.lit(0.0)).alias(f"bucket_{b}") for b in ids
-    ]
-    return hits.groupBy("query_id").agg(*columns) if columns else hits.select("query_id").distinct()
+    if not ids:
+        return hits.select("query_id").distinct()
+    cells = hits.groupBy("query_id", "bucket_id").agg(F.max("score").alias("score"))
+    known = F.when(F.col("bucket_id").isNotNull() & F.col("score").isNotNull(), F.struct("bucket_id", "score"))
+    rows = cells.groupBy("query_id").agg(F.map_from_entries(F.collect_list(known)).alias("scores"))
+    return rows.select("query_id", *[F.coalesce(F.try_element_at("scores", F.lit(b)), F.lit(0.0)).alias(f"bucket_{b}") for b in ids])
 
 
 def aggregate(
@@ -155,7 +169,8 @@ def aggregate(
     Minimizers are distinct over all reads on each strand. Counting is spread by minimizer, then merged.
     """
     check_threshold(threshold)
-    sketch = query_sketch(reads, params, pair, negative).select("strand", "minimizer").distinct()
+    require_params(index, params)
+    sketch = cut(query_sketch(reads, params, pair, negative).select("strand", "minimizer").distinct())  # read twice
     totals = sketch.groupBy("strand").agg(F.count(F.lit(1)).alias("total"))  # two rows at most
     counts = _meet(sketch, index).groupBy("bucket_id", "strand").count()
     return (

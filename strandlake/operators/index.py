@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.encoding import source_label, source_path, unsigned_key
 from strandlake.functions.kernels import FORWARD, SketchParams
+from strandlake.operators.chunks import MAX_BUCKETS
 from strandlake.operators.entries import valid_entries  # noqa: F401
-from strandlake.operators.sketch import minimizers
+from strandlake.operators.sketch import minimizers, require_params
 from strandlake.runtime import require_columns, small
 
 PAIR = ["minimizer", "bucket_id"]
@@ -22,9 +23,11 @@ def consolidate(entries: DataFrame) -> DataFrame:
 def build_index(references: DataFrame, params: SketchParams, exclude: DataFrame | None = None) -> DataFrame:
     """The index of ``references`` (``sequence``, ``bucket_id``), forward strands only.
 
-    ``exclude`` is an index whose minimizers are left out. Sequences without minimizers give no rows.
+    ``exclude`` is an index, with the same parameters, whose minimizers are left out. Sequences without minimizers give no rows.
     """
     require_columns(references, "sequence", "bucket_id")
+    if exclude is not None:
+        require_params(exclude, params)
     pairs = minimizers(references, params, ["bucket_id"], strands=[FORWARD])
     index = consolidate(pairs)
     return index if exclude is None else subtract(index, exclude)
@@ -110,7 +113,7 @@ def resolve_bucket(buckets: DataFrame, identifier: str) -> int:
     """The id meant by a number, which isn't looked up, or by a bucket's exact name."""
     identifier = identifier.strip()
     if not identifier:
-        raise ValueError("Bucket identifier cannot be empty")
+        raise ValueError("a bucket is named by its id or its name; neither is given")
     if identifier.isascii() and identifier.isdigit():
         return int(identifier)
     found = buckets.where(F.col("bucket_name") == identifier).select("bucket_id").limit(2).collect()
@@ -122,14 +125,16 @@ def resolve_bucket(buckets: DataFrame, identifier: str) -> int:
 def merged_ids(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """New ids for two bucket tables: ``side`` (0, 1), ``old_id``, ``bucket_name``, ``bucket_id``.
 
-    The primary's buckets come first, each side in the order of its ids, numbered from 1 without gaps.
+    The primary's buckets come first, each side in the order of its ids, numbered from 1 without gaps. A side has at
+    most 100,000 buckets, more are an error.
     """
     sides = [b.select(F.lit(i).alias("side"), F.col("bucket_id").alias("old_id"), "bucket_name")
              for i, b in enumerate((primary, secondary))]
-    both = sides[0].unionByName(sides[1])
-    return both.withColumn(
-        "bucket_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("side", "old_id"))
-    )
+    rows = sides[0].unionByName(sides[1]).limit(2 * MAX_BUCKETS + 1).collect()
+    if len(rows) > 2 * MAX_BUCKETS:
+        raise ValueError(f"there are more than {MAX_BUCKETS} buckets in an index")
+    numbered = [(*r, i) for i, r in enumerate(sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0)), 1)]
+    return primary.sparkSession.createDataFrame(numbered, "side int, old_id int, bucket_name string, bucket_id int")
 
 
 def merge_indices(

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from strandlake.functions.encoding import log_ratio as ratio
 from strandlake.functions.kernels import SketchParams
 from strandlake.operators.classify import query_sketch, scores
+from strandlake.operators.sketch import require_params
+from strandlake.runtime import cut, settled
 
 NO_PATH, HIGH_NUMERATOR = "none", "num_high"
 
 
-def check_single_bucket(index: DataFrame) -> None:
-    if index.select("bucket_id").distinct().limit(2).count() != 1:
+def check_single_bucket(index: DataFrame, empty: bool = False) -> None:
+    """An error unless the index has one bucket, or, with ``empty``, no entry at all."""
+    row = index.agg(F.min("bucket_id").alias("a"), F.max("bucket_id").alias("b")).first()
+    if row["a"] != row["b"] or (row["a"] is None and not empty):
         raise ValueError("an index for log-ratios must have exactly one bucket")
 
 
@@ -36,9 +40,15 @@ def log_ratio(
     """``query_id``, ``numerator``, ``denominator`` (null if not looked at), ``log_ratio``, ``fast_path`` of every read.
 
     Scores are 0 without a hit. A read whose numerator reaches ``skip`` (none or <= 0: no read does) isn't joined
-    with the denominator; its ratio is Infinity and its path ``num_high``. One row per distinct non-null id.
+    with the denominator; its ratio is Infinity and its path ``num_high``. One row per distinct non-null id. Indices with more than
+    one bucket, or known to have other parameters, are refused; an empty one has no hits.
     """
     check_skip(skip)
+    for i in (numerator, denominator):
+        require_params(i, params)
+    numerator, denominator = (settled(i.select("minimizer", "bucket_id")) for i in (numerator, denominator))
+    for i in (numerator, denominator):
+        check_single_bucket(i, empty=True)
     sketch = query_sketch(reads, params, pair, unique_ids=unique_ids)
     every = reads.where(F.col("id").isNotNull()).select(F.col("id").alias("query_id")).distinct()
     if skip is None or skip <= 0:
@@ -51,7 +61,7 @@ def log_ratio(
         high = F.lit(False)
         joined = every.join(found, "query_id", "left").fillna(0.0, ["numerator"])
     else:
-        num = scores(sketch, numerator, 0.0).select("query_id", F.col("score").alias("numerator"))
+        num = cut(scores(sketch, numerator, 0.0).select("query_id", F.col("score").alias("numerator")))  # read twice
         high = F.col("numerator") >= skip
         rest = sketch.join(num.where(high).select("query_id"), "query_id", "left_anti")
         den = scores(rest, denominator, 0.0).select("query_id", F.col("score").alias("denominator"))

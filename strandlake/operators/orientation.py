@@ -13,6 +13,7 @@ from strandlake.functions.encoding import unsigned_key
 from strandlake.functions.kernels import FORWARD, REVERSE, SketchParams
 from strandlake.operators.index import PAIR, consolidate
 from strandlake.operators.sketch import minimizer_sets, minimizers
+from strandlake.runtime import cut
 
 #: The smallest minimizers of each strand that are compared with the baseline.
 SAMPLE = 10_000
@@ -63,11 +64,14 @@ def build_oriented(
 ) -> DataFrame:
     """The index of ``features`` (``bucket_id``, ``feature_idx``, ``sequence``), each on its chosen strand.
 
-    ``first`` names the features of the baselines, else each bucket's first feature is its baseline.
+    ``first`` names the features of the baselines, else each bucket's first feature is its baseline. A feature may come in
+    several rows, as its overlapping pieces. The sketches are written once, as they are read several times.
     """
-    sketches = minimizers(features, params, ["bucket_id", "feature_idx"])
-    chosen = choose_strands(sketches, baselines(features) if first is None else first, sample, first is not None).select("bucket_id", "feature_idx", "strand")
-    return consolidate(sketches.join(chosen, ["bucket_id", "feature_idx", "strand"], "left_semi"))
+    place = ["bucket_id", "feature_idx", "strand"]
+    sketches = cut(minimizers(features, params, place[:2]).distinct())
+    baseline = baselines(features) if first is None else first
+    chosen = choose_strands(sketches, baseline, sample, first is not None).select(*place)
+    return consolidate(sketches.join(chosen, place, "left_semi"))
 
 
 def build_growing(features: DataFrame, params: SketchParams, order: str = "feature_idx", sample: int = SAMPLE) -> DataFrame:

@@ -12,8 +12,27 @@ from pyspark.sql import types as T
 
 from strandlake.functions import kernels
 from strandlake.functions.kernels import FORWARD, REVERSE, SketchParams
+from strandlake.runtime import spread
 
 BOTH = (FORWARD, REVERSE)
+#: Key of the column metadata that tells how minimizers were made.
+MADE_WITH = "sketch"
+
+
+def _made_with(params: SketchParams) -> dict[str, str]:
+    return {MADE_WITH: f"k={params.k} w={params.w} salt=0x{params.salt:016x}"}
+
+
+def marked(df: DataFrame, params: SketchParams) -> DataFrame:
+    """``df`` whose column ``minimizer`` tells its parameters, as those of :func:`minimizers` do."""
+    return df.withMetadata("minimizer", _made_with(params))
+
+
+def require_params(df: DataFrame, params: SketchParams) -> None:
+    """An error if the minimizers of ``df`` are known to have other parameters."""
+    made, wanted = df.schema["minimizer"].metadata.get(MADE_WITH), _made_with(params)[MADE_WITH]
+    if made not in (None, wanted):
+        raise ValueError(f"minimizers of {made} can't be used with {wanted}")
 
 
 def _schema(df: DataFrame, keep: Sequence[str], extra: str) -> T.StructType:
@@ -28,7 +47,7 @@ def _pick(df: DataFrame, keep: Sequence[str], sequence: str, pair: str | None) -
     texts = [df[sequence].cast("string").alias("__sequence")]
     if pair is not None:
         texts.append(df[pair].cast("string").alias("__pair"))
-    return df.select(*[df[c] for c in keep], *texts)
+    return spread(df.select(*[df[c] for c in keep], *texts))
 
 
 def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
@@ -74,7 +93,8 @@ def minimizers(
                 yield pa.RecordBatch.from_arrays(kept, names=names)
 
     picked = _pick(df, keep, sequence, pair)
-    return picked.mapInArrow(run, _schema(df, keep, "strand int, minimizer long" + ", total int" * totals))
+    made = picked.mapInArrow(run, _schema(df, keep, "strand int, minimizer long" + ", total int" * totals))
+    return marked(made, params)
 
 
 def minimizer_sets(
@@ -137,13 +157,12 @@ def ordered_minimizers(
                 kept = [batch.column(c).take(at) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c) for c in columns)], names=names)
 
-    return _pick(df, keep, sequence, None).mapInArrow(
-        run, _schema(df, keep, "strand int, ord int, minimizer long")
-    )
+    made = _pick(df, keep, sequence, None).mapInArrow(run, _schema(df, keep, "strand int, ord int, minimizer long"))
+    return marked(made, params)
 
 
 class _Minimizers:
-    """``minimizers(sequence, k, w, salt)`` for SQL."""
+    """``minimizers(sequence, k, w, salt)`` for SQL. Row by row: Arrow table functions can't stand in a lateral join."""
 
     def eval(self, sequence: str, k: int, w: int, salt: int):
         if sequence is None:

@@ -1,8 +1,8 @@
 """Per-key results when a few keys own most rows.
 
-A heavy key is one that owns at least a given share of all rows. Since there are at most
-1/share such keys, their list is bounded whatever the data size, may be held by the driver
-and broadcast. Candidates come from mergeable frequent-item sketches (one scan, no shuffle
+A heavy key is one that owns at least a given share of all rows, by default a quarter of a mean
+shuffle partition, so that no light key is more than a small part of a task, whatever the data size. There are at
+most 1/share such keys, so their list is bounded and may be held by the driver. Candidates come from mergeable frequent-item sketches (one scan, no shuffle
 of keys); a sketch only ever over-counts, so no heavy key is missed, and a light key taken
 for a heavy one costs nothing but a needless salt.
 """
@@ -10,44 +10,50 @@ for a heavy one costs nothing but a needless salt.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with at least this share of all rows is salted.
-HEAVY_SHARE = 1 / 1000
-#: Partial results of a heavy key.
-SALTS = 64
-#: Items a sketch tracks; its error is below 3.5 / TRACKED of the rows.
-TRACKED = 16_384
+from strandlake.runtime import partitions
+
+#: A key with at least this part of a mean partition is salted.
+HEAVY_PART = 1 / 4
+#: A sketch's error is below ERROR / (items it tracks) of the rows; Spark's sketches track at most so many.
+ERROR, MOST_TRACKED = 3.5, 1_000_000
 #: Sketches are merged in a tree with this many inner nodes.
 FAN_IN = 64
 
 
-def heavy_keys(
-    df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE
-) -> tuple[int, dict[str, list]]:
+def heavy_share(spark: SparkSession) -> float:
+    """The share of all rows that makes a quarter of a mean shuffle partition of the session."""
+    return min(1.0, max(HEAVY_PART / partitions(spark), 2 * ERROR / MOST_TRACKED))
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str], share: float | None = None) -> tuple[int, dict[str, list]]:
     """Rows of ``df`` and, for each column in ``keys``, its non-null heavy values.
 
-    One scan. The lists hold every value with at least ``share`` of the rows, perhaps a few
+    One scan. The lists hold every value with at least ``share`` (else :func:`heavy_share`) of the rows, perhaps a few
     that have slightly less, at most ``2 / share`` in all. An empty table gives 0 and empty
-    lists. ``share`` must be at least 7 / TRACKED, twice the sketch's error.
+    lists. The sketch tracks so many items that its error is at most half of ``share``.
     """
-    if not 7 / TRACKED <= share <= 1:
-        raise ValueError(f"share must be in [{7 / TRACKED:g}, 1]")
+    share = heavy_share(df.sparkSession) if share is None else share
+    if not 2 * ERROR / MOST_TRACKED <= share <= 1:
+        raise ValueError(f"share must be in [{2 * ERROR / MOST_TRACKED:g}, 1]")
+    limit = int(2 / share)
+    tracked = min(MOST_TRACKED, max(1 << ceil(2 * ERROR / share).bit_length(), limit))
     partial = (
         df.select(*keys)
         .groupBy(F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("__node"))
         .agg(
             F.count(F.lit(1)).alias("n"),
-            *[F.expr(f"approx_top_k_accumulate(`{k}`, {TRACKED})").alias(f"k{i}") for i, k in enumerate(keys)],
+            *[F.expr(f"approx_top_k_accumulate(`{k}`, {tracked})").alias(f"k{i}") for i, k in enumerate(keys)],
         )
     )
-    limit = int(2 / share)
     row = partial.groupBy(F.lit(0).alias("__root")).agg(  # unlike a bare agg, no row at all for an empty table
         F.sum("n").alias("n"),
         *[
-            F.expr(f"approx_top_k_estimate(approx_top_k_combine(k{i}, {TRACKED}), {limit})").alias(f"k{i}")
+            F.expr(f"approx_top_k_estimate(approx_top_k_combine(k{i}, {tracked}), {limit})").alias(f"k{i}")
             for i in range(len(keys))
         ],
     ).first()
@@ -67,7 +73,7 @@ def is_heavy(key: str, heavy: Sequence) -> Column:
     return F.coalesce(F.col(key).isin(list(heavy)), F.lit(False))
 
 
-def salt(columns: Sequence[str], salts: int = SALTS) -> Column:
+def salt(columns: Sequence[str], salts: int) -> Column:
     """A salt from the row's own values.
 
     It is as even as a random one, but the same whenever a task is run again, so that a
@@ -77,17 +83,19 @@ def salt(columns: Sequence[str], salts: int = SALTS) -> Column:
 
 
 def key_counts(
-    df: DataFrame, key: str, partner: str, heavy: Sequence, salts: int = SALTS, distinct: bool = True
+    df: DataFrame, key: str, partner: str, heavy: Sequence, salts: int | None = None, distinct: bool = True
 ) -> DataFrame:
     """For every non-null ``key``: ``n_rows`` and, if ``distinct``, ``n_partners``.
 
     ``n_partners`` counts the distinct non-null values of ``partner``. Two stages for heavy
     keys: partial results by (key, salt of the partner), combined before they are shuffled,
-    then merged by key; equal partners share a salt, so that the distinct counts add up.
+    then merged by key; equal partners share a salt, so that the distinct counts add up. There are as many ``salts`` as
+    shuffle partitions if not told otherwise.
     Light keys, each below the heavy share, take one shuffle on the key. Output: ``key``,
     ``n_rows`` LONG [, ``n_partners`` LONG], one row per key. Null keys are left out; an empty
     table gives no rows.
     """
+    salts = salts or partitions(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.col(partner).alias("partner")).where(F.col("key").isNotNull())
     hot = is_heavy("key", heavy)
     light, dense = rows.where(~hot), rows.where(hot).withColumn("salt", salt(["partner"], salts))
@@ -120,8 +128,8 @@ def salted_aggregate(
     key: str,
     aggregates: dict[str, tuple[str, str]],
     salt_on: Sequence[str],
-    share: float = HEAVY_SHARE,
-    salts: int = SALTS,
+    share: float | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """Mergeable aggregates for every ``key``, whatever share of the rows a key has.
 
@@ -140,7 +148,7 @@ def salted_aggregate(
     hot = is_heavy(key, found[key]) | F.col(key).isNull()
     rows = df.select(
         F.col(key).alias("__key"),
-        F.when(hot, salt(list(salt_on), salts)).otherwise(F.lit(0)).alias("__salt"),
+        F.when(hot, salt(list(salt_on), salts or partitions(df.sparkSession))).otherwise(F.lit(0)).alias("__salt"),
         *[F.col(c).alias(f"__{i}") for i, (_, c) in enumerate(aggregates.values())],
     )
     parts = rows.groupBy("__key", "__salt").agg(

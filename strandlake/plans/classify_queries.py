@@ -12,8 +12,8 @@ from strandlake.operators import index as ix
 from strandlake.operators import logratio as lr
 from strandlake.operators import orientation as ori
 from strandlake.operators.sketch import minimizers
-from strandlake.plans.sketch_queries import SMALL, bucket_ids, features_of, reads_of
-from strandlake.runtime import small, table
+from strandlake.plans.sketch_queries import SMALL, bucket_ids, features_of, pieces_of, reads_of
+from strandlake.runtime import cut, small, table
 
 #: Buckets whose name ends so are the negative reference and one side of merges and log-ratios.
 PLASMID = "%plasmid"
@@ -26,12 +26,12 @@ WIDE_LEAST = 64
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.build_index(features_of(spark, sf_dir), SMALL)
+    return ix.build_index(pieces_of(spark, sf_dir), SMALL)
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Features of plasmid buckets and of the others."""
-    features = features_of(spark, sf_dir)
+    """Features of plasmid buckets and of the others, in pieces."""
+    features = pieces_of(spark, sf_dir)
     plasmid = F.col("bucket_name").like(PLASMID)
     return features.where(plasmid), features.where(~plasmid)
 
@@ -191,8 +191,8 @@ def best_hits_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of both strands of each feature with the forward sketch of its bucket's first feature."""
-    features = features_of(spark, sf_dir)
-    sketches = minimizers(features, SMALL, ["bucket_id", "feature_idx"])
+    features = pieces_of(spark, sf_dir)
+    sketches = cut(minimizers(features, SMALL, ["bucket_id", "feature_idx"]).distinct())  # read twice
     base = sketches.where(f"strand = {FORWARD}").join(ori.baselines(features), ["bucket_id", "feature_idx"], "left_semi")
     marked = sketches.join(base.select("bucket_id", "minimizer", F.lit(1).alias("known")), ["bucket_id", "minimizer"], "left")
 
@@ -206,12 +206,13 @@ def overlap_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orientation_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a sample of 20 minimizers, so that the samples matter at this size."""
-    features = features_of(spark, sf_dir)
-    return ori.choose_strands(minimizers(features, SMALL, ["bucket_id", "feature_idx"]), ori.baselines(features), 20)
+    features = pieces_of(spark, sf_dir)
+    sketches = cut(minimizers(features, SMALL, ["bucket_id", "feature_idx"]).distinct())
+    return ori.choose_strands(sketches, ori.baselines(features), 20)
 
 
 def orient_fixed_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ori.build_oriented(features_of(spark, sf_dir), SMALL)
+    return ori.build_oriented(pieces_of(spark, sf_dir), SMALL)
 
 
 def orient_growing_build(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,11 @@ def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.features_in_buckets(table(spark, sf_dir, "genome_chunks"), table(spark, sf_dir, "feature_map"))
 
 
+def pieces_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features in overlapping pieces, for sketches with the parameters SMALL."""
+    return chunks.features_in_buckets(table(spark, sf_dir, "genome_chunks"), table(spark, sf_dir, "feature_map"), pieces_for=SMALL)
+
+
 def ry_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = ry_bits("sequence")
     return reads_of(spark, sf_dir).where("sequence IS NOT NULL").select(
@@ -119,7 +124,7 @@ def minimizer_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads_of(spark, sf_dir).createOrReplaceTempView("reads_for_udtf")
     return spark.sql(
         "SELECT id, m.strand, m.minimizer FROM reads_for_udtf, "
-        f"LATERAL minimizers(sequence, 32, 10, {signed(K32.salt)}L) m WHERE length(sequence) >= 41"
+        f"LATERAL minimizers(sequence, 32, 10, {signed(K32.salt)}L) m"
     )
 
 
