@@ -1,7 +1,8 @@
 """The best few items of every group, whatever the sizes of the groups.
 
-Hot-cold split: groups whose exact row count is at least a given share of the table are hot.
-Cold groups take one shuffle on the group and an ordinary window. Hot groups are cut into
+Hot-cold split: groups whose exact number of items is at least a given share of all are hot, by default a quarter of
+a mean shuffle partition. Cold groups take one shuffle on the group and an ordinary window, before which each task keeps only
+the best few of its own. Hot groups are cut into
 ranges of the score, which are the salts: their counts tell which ranges can hold a top item and
 how many items stand before each, so every range is sorted by itself and no task ever sees
 a whole hot group.
@@ -12,24 +13,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.operators.skew import HEAVY_SHARE, heavy_keys, is_heavy
+from strandlake.operators.skew import heavy_share, is_heavy
 from strandlake.runtime import cut, require_columns
 
 #: Ranges of the score in which a hot group is cut.
 RANGES = 32
 
 
-def _hot_groups(rows: DataFrame, share: float) -> list:
-    """Groups with at least ``share`` of the rows, by exact counts of the sketched candidates."""
-    total, found = heavy_keys(rows, ["g"], share)
-    if not found["g"]:
-        return []
-    counts = rows.where(is_heavy("g", found["g"])).groupBy("g").count()
-    return [r["g"] for r in counts.where(F.col("count") >= share * total).collect()]
+def _hot_groups(best: DataFrame, share: float) -> list:
+    """Groups with at least ``share`` of the rows, by exact counts; there are at most 1 / share."""
+    total = best.count()
+    counts = best.groupBy("g").count()
+    return [r["g"] for r in counts.where(F.col("count") >= share * total).collect()] if total else []
 
 
 def top_per_group(
-    df: DataFrame, group: str, item: str, score: str, n: int, share: float = HEAVY_SHARE, ranges: int = RANGES
+    df: DataFrame, group: str, item: str, score: str, n: int, share: float | None = None, ranges: int = RANGES
 ) -> DataFrame:
     """The ``n`` items with the highest score in every group, with their rank from 1.
 
@@ -44,17 +43,18 @@ def top_per_group(
     rows = df.select(
         F.col(group).alias("g"), F.col(item).alias("i"), (F.col(score).cast("double") + F.lit(0.0)).alias("s")
     ).where("g IS NOT NULL AND i IS NOT NULL AND s IS NOT NULL AND NOT isnan(s)")
-    hot = _hot_groups(rows, share)
-    best = F.max("s").alias("s")
+    # One row per item, combined before the shuffle and written once: all that follows reads this.
+    best = cut(rows.groupBy("g", "i").agg(F.max("s").alias("s")))
+    hot = _hot_groups(best, heavy_share(df.sparkSession) if share is None else share)
     order = [F.desc("s"), F.asc("i")]
 
-    cold = rows.where(~is_heavy("g", hot)).repartition("g").groupBy("g", "i").agg(best)
+    cold = best.where(~is_heavy("g", hot))
     top = cold.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order))).where(f"rank <= {n}")
 
     if hot:
-        dense = cut(rows.where(is_heavy("g", hot)).groupBy("g", "i").agg(best))
+        dense = best.where(is_heavy("g", hot))
         steps = [k / ranges for k in range(1, ranges)]
-        # At most 2 / share hot groups, so that both tables below have a proven bound.
+        # At most 1 / share hot groups, so that both tables below have a proven bound.
         bounds = dense.groupBy("g").agg(F.percentile_approx("s", steps).alias("bounds"))
         ranged = dense.join(F.broadcast(bounds), "g").select(
             "g", "i", "s", F.size(F.filter("bounds", lambda b: b > F.col("s"))).alias("r")
