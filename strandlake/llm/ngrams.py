@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.skew import HEAVY_SHARE, SALTS, heavy_keys, is_heavy, salt
+from strandlake.operators.skew import heavy_keys, is_heavy, salt
+from strandlake.runtime import partitions
 
 
 def suffixes(df: DataFrame, records: Sequence[str], terms: str, max_n: int) -> DataFrame:
@@ -144,7 +145,7 @@ def _stack(max_n: int, records: int, weighted: bool):
 
 
 def ngram_counts(
-    runs: DataFrame, records: Sequence[str], max_n: int = 1, share: float = HEAVY_SHARE, salts: int = SALTS
+    runs: DataFrame, records: Sequence[str], max_n: int = 1, share: float | None = None, salts: int | None = None
 ) -> DataFrame:
     """Counts of every run of 1 to ``max_n`` terms in the rows of :func:`suffixes`.
 
@@ -153,9 +154,10 @@ def ngram_counts(
     distinct records the run occurs. Repeated rows each count as an occurrence and once as a record. Rows
     with a null first term or null record are left out; other columns are ignored; an empty table gives no rows.
 
-    A first term with at least ``share`` of all rows is hot: its rows are combined before the shuffle and spread
-    by a salt of the outermost record, which keeps the record sets of the salts apart, so counts add up.
+    A first term with at least ``share`` of all rows (by default a quarter of a mean partition) is hot: its rows are combined
+    before the shuffle and spread by a salt of the outermost record, which keeps the record sets of the salts apart, so counts add up.
     """
+    salts = salts or partitions(runs.sparkSession)
     terms = [f"t{j + 1}" for j in range(max_n)]
     keys = [f"r{q + 1}" for q in range(len(records))]
     rows = runs.select(*terms, *[F.col(c).cast("long").alias(k) for c, k in zip(records, keys, strict=True)])
