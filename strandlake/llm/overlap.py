@@ -12,15 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.runtime import cut, small
+
 #: Identifiers in at most so many sets are expanded into pairs.
 LIGHT_DEGREE = 16
 #: Columns of a matrix block and rows multiplied at once.
 BLOCK, ROWS = 1024, 2048
 #: Pair counts a task holds before it passes them on.
 HELD = 2_000_000
+#: Sets whose sizes are broadcast.
+BROADCAST_SETS = 1_000_000
 
 _OUT = "set_a int, set_b int, n long"
 
@@ -65,6 +69,11 @@ class _Counts:
             self.keys, self.sums, self.held = [key], [total], len(key)
         return self.held
 
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        """The counts, once there are too many of them even when added up."""
+        if self.held > HELD and self.merge() > HELD // 2:
+            yield self.batch()
+
     def batch(self) -> pa.RecordBatch:
         key = np.concatenate(self.keys) if self.keys else np.zeros(0, np.int64)
         n = np.concatenate(self.sums) if self.sums else np.zeros(0, np.int64)
@@ -73,34 +82,43 @@ class _Counts:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["set_a", "set_b", "n"])
 
 
-def _expand(sets: np.ndarray, start: np.ndarray, degree: np.ndarray, n: np.ndarray, out: _Counts) -> None:
+def _expand(sets: np.ndarray, start: np.ndarray, degree: np.ndarray, n: np.ndarray, out: _Counts) -> Iterator[pa.RecordBatch]:
     """Every pair (a <= b) of the sets of each row, rows of equal degree together."""
     for d in np.unique(degree):
-        rows = degree == d
-        members = sets[start[rows][:, None] + np.arange(d)]
         i, j = np.triu_indices(d)
-        out.add(members[:, i].ravel(), members[:, j].ravel(), np.repeat(n[rows], len(i)))
+        every = np.flatnonzero(degree == d)
+        step = max(1, HELD // len(i))
+        for r in range(0, len(every), step):
+            rows = every[r : r + step]
+            members = sets[start[rows][:, None] + np.arange(d)]
+            out.add(members[:, i].ravel(), members[:, j].ravel(), np.repeat(n[rows], len(i)))
+            yield from out.flush()
 
 
-def _multiply(sets: np.ndarray, start: np.ndarray, degree: np.ndarray, n: np.ndarray, out: _Counts) -> None:
-    """The same counts as weighted products of dense blocks."""
+def _multiply(sets: np.ndarray, start: np.ndarray, degree: np.ndarray, n: np.ndarray, out: _Counts) -> Iterator[pa.RecordBatch]:
+    """The same counts as weighted products of dense blocks, of which two are held at a time."""
     for r in range(0, len(start), ROWS):
         deg, weight = degree[r : r + ROWS], n[r : r + ROWS].astype(np.float64)
         row = np.repeat(np.arange(len(deg)), deg)
         at = np.repeat(start[r : r + ROWS] - np.concatenate([[0], np.cumsum(deg)[:-1]]), deg) + np.arange(deg.sum())
         names, col = np.unique(sets[at], return_inverse=True)
-        blocks = []
-        for c in range(0, len(names), BLOCK):
-            x = np.zeros((len(deg), min(BLOCK, len(names) - c)))
-            own = (col >= c) & (col < c + BLOCK)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+
+        def block(c: int, row=row, col=col, names=names, size=len(deg)) -> np.ndarray:
+            x = np.zeros((size, min(BLOCK, len(names) - c)))
+            own = slice(*np.searchsorted(col, [c, c + BLOCK]))
             x[row[own], col[own] - c] = 1
-            blocks.append((c, x))
-        for p, (c, x) in enumerate(blocks):
+            return x
+
+        for c in range(0, len(names), BLOCK):
+            x = block(c)
             scaled = (x * weight[:, None]).T
-            for e, y in blocks[p:]:
-                product = scaled @ y
+            for e in range(c, len(names), BLOCK):
+                product = scaled @ (x if c == e else block(e))
                 i, j = np.nonzero(np.triu(product) if c == e else product)
                 out.add(names[c + i], names[e + j], np.rint(product[i, j]))
+                yield from out.flush()
 
 
 def _count_pairs(light_degree: int):
@@ -119,42 +137,35 @@ def _count_pairs(light_degree: int):
             degree = np.bincount(np.repeat(np.arange(len(n)), length)[at], minlength=len(n))
             start = np.concatenate([[0], np.cumsum(degree)[:-1]])
             light = degree <= light_degree
-            _expand(sets, start[light], degree[light], n[light], out)
-            _multiply(sets, start[~light], degree[~light], n[~light], out)
-            if out.held > HELD and out.merge() > HELD // 2:
-                yield out.batch()
+            yield from _expand(sets, start[light], degree[light], n[light], out)
+            yield from _multiply(sets, start[~light], degree[~light], n[~light], out)
         out.merge()
         yield out.batch()
 
     return run
 
 
-def overlap_sizes(df: DataFrame, set_id: str, member: str, light_degree: int = LIGHT_DEGREE) -> DataFrame:
+def overlap_sizes(
+    df: DataFrame, set_id: str, member: str, light_degree: int = LIGHT_DEGREE, min_share: float = 0.0
+) -> DataFrame:
     """Exact overlap of every two sets that share a member.
 
     ``set_id`` is an INT, ``member`` of any type that can be grouped. Output, one row per pair:
-    ``set_a`` < ``set_b`` INT, ``n_both``, ``n_a``, ``n_b`` LONG. Rows with a null set or member
+    ``set_a`` < ``set_b`` INT, ``n_both``, ``n_a``, ``n_b`` LONG, of the pairs whose overlap is at least ``min_share`` of the
+    smaller set. Rows with a null set or member
     are left out, repeated rows count once, pairs that share nothing are not listed, other columns
     are ignored, and an empty table gives no rows.
     """
-    pairs = (
+    pairs = cut(
         signatures(df, set_id, member)
         .mapInArrow(_count_pairs(light_degree), _OUT)
         .groupBy("set_a", "set_b")
-        .agg(F.sum("n").alias("n"))
-    )
-    # A set's size stands on the diagonal, as its overlap with itself. Each pair goes to the
-    # windows of both its sets, so the counts are made once and no pair meets an unrelated one.
-    sized = pairs.select(
-        "set_a", "set_b", "n", F.explode(F.array_distinct(F.array("set_a", "set_b"))).alias("side")
-    ).withColumn("diagonal", F.when(F.col("set_a") == F.col("set_b"), F.col("n")))
-    sized = sized.withColumn("size", F.max("diagonal").over(Window.partitionBy("side")))
-    return (
-        sized.where("set_a < set_b")
-        .groupBy("set_a", "set_b")
-        .agg(
-            F.max("n").alias("n_both"),
-            F.max(F.when(F.col("side") == F.col("set_a"), F.col("size"))).alias("n_a"),
-            F.max(F.when(F.col("side") == F.col("set_b"), F.col("size"))).alias("n_b"),
-        )
+        .agg(F.sum("n").alias("n_both"))
     )
+    # A set's size stands on the diagonal, as its overlap with itself. The sizes are broadcast if the sets are few.
+    sizes = small(pairs.where("set_a = set_b").select(F.col("set_a").alias("s"), F.col("n_both").alias("size")), BROADCAST_SETS)
+    found = pairs.where("set_a < set_b")
+    for side in ("a", "b"):
+        own = sizes.select(F.col("s").alias(f"set_{side}"), F.col("size").alias(f"n_{side}"))
+        found = found.join(own, f"set_{side}")
+    return found.where(F.col("n_both") >= F.lit(min_share) * F.least("n_a", "n_b")).select("set_a", "set_b", "n_both", "n_a", "n_b")

@@ -26,16 +26,19 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid_entries(table(spark, sf_dir, "index_shard"), table(spark, sf_dir, "bucket_dim"))
 
 
-def p1_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every two buckets that share a minimizer, with the overlap and both sizes."""
-    return overlap_sizes(_entries(spark, sf_dir), "bucket_id", "minimizer").select(
+def _overlaps(spark: SparkSession, sf_dir: str, min_share: float = 0.0) -> DataFrame:
+    return overlap_sizes(_entries(spark, sf_dir), "bucket_id", "minimizer", min_share=min_share).select(
         F.col("set_a").alias("bucket_id_a"), F.col("set_b").alias("bucket_id_b"), "n_both", "n_a", "n_b"
     )
 
 
+def p1_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two buckets that share a minimizer, with the overlap and both sizes."""
+    return _overlaps(spark, sf_dir)
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    least = F.lit(MIN_SHARE) * F.least("n_a", "n_b")
-    return p1_overlaps(spark, sf_dir).where(F.col("n_both") >= least).select("bucket_id_a", "bucket_id_b")
+    return _overlaps(spark, sf_dir, MIN_SHARE).select("bucket_id_a", "bucket_id_b")
 
 
 def _top(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
