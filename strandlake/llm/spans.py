@@ -6,7 +6,8 @@ extended to 128, and so on until none is left. On the first level one window of
 each run of longer windows around it: the one with the least hash among all the 32-letter windows that
 the longer window holds. Equal windows choose equal representatives, so nothing is lost.
 
-Windows up to 64 letters are compared as their letters, two bits each; longer ones as 128-bit hashes.
+Windows up to 64 letters are compared as their letters, two bits each; longer ones as 128-bit hashes. What repeats is found
+by an aggregate that is combined before its shuffle, so that no task holds a frequent window's places.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.flat import char_offsets, flat_bytes
-from strandlake.operators.skew import HEAVY_SHARE, heavy_keys, is_heavy
-from strandlake.runtime import cut, require_columns
+from strandlake.runtime import cut, discard, require_columns
+
+#: Repeated windows up to which their list is broadcast.
+BROADCAST_KEYS = 500_000
 
 #: Letters of the first level; two bits each fill a 64-bit word.
 SEED = 32
@@ -72,26 +75,30 @@ def _contexts(length: int):
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             for c in range(0, len(data), CHUNK):
-                letters = _LETTER[data[c : c + CHUNK + length - 1]]
+                # A run is part of the chunk it starts in; it is at most ``width`` long, and the window before tells if one goes on.
+                first, end = max(c - 1, 0), min(c + CHUNK + width, len(data))
+                letters = _LETTER[data[first : end + length - 1]]
                 letters = np.concatenate([letters, np.full(3 * SEED, 4, np.uint8)])
                 code = (letters & 3).astype(np.uint64)
                 for step in (1, 2, 4, 8, 16):
                     code = (code[:-step] << np.uint64(2 * step)) | code[step:]
-                last = min(CHUNK, len(data) - c)
+                last = end - first
                 at = _leftmost_min(_mix(code), width)[:last]
                 bad = np.concatenate([[0], np.cumsum(letters == 4)])
-                place = np.arange(c, c + last)
+                place = np.arange(first, end)
                 row = np.searchsorted(starts, place, "right") - 1
                 valid = (bad[length : length + last] == bad[:last]) & (place + length <= starts[row + 1])
                 new = valid.copy()
                 new[1:] &= ~valid[:-1] | (at[1:] != at[:-1])
                 s = np.flatnonzero(new)
+                n = np.bincount(np.cumsum(new)[valid] - 1, minlength=len(s))
+                own_chunk = (s + first >= c) & (s + first < c + CHUNK)
+                s, n = s[own_chunk], n[own_chunk]
                 if not len(s):
                     continue
-                n = np.bincount(np.cumsum(new)[valid] - 1, minlength=len(s))
                 own = row[s]
                 columns = [
-                    ids[own], keys[own], code[at[s]].view(np.int64), char_offsets(data, starts, own, s + c),
+                    ids[own], keys[own], code[at[s]].view(np.int64), char_offsets(data, starts, own, s + first),
                     n.astype(np.int32), *(code[s + k * SEED].view(np.int64) for k in range(3)),
                 ]
                 names = ["id", "key", "anchor", "pos", "n", "x0", "x1", "x2"]
@@ -118,37 +125,27 @@ def _windows(contexts: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _repeated(rows: DataFrame, keys: Sequence[str], unique: Sequence[str], share: float) -> DataFrame:
-    """Rows whose ``keys`` occur under at least two ids, once for each value of ``unique``.
+def _repeated(rows: DataFrame, keys: Sequence[str], broadcast_keys: float) -> DataFrame:
+    """Rows whose ``keys`` occur under at least two ids.
 
-    Light keys take one shuffle. Heavy ones, at most 2 / share, are settled by a
-    combined aggregate that is small enough to broadcast.
+    The list of repeated keys is written, counted, and broadcast if it is short, so that the rows aren't shuffled; else
+    the rows are joined with it by shuffled partitions, where the rows of a frequent key are split by adaptive execution.
     """
-    rows = rows.withColumn("__h", F.xxhash64(*keys))
-    _, heavy = heavy_keys(rows, ["__h"], share)
-    hot = is_heavy("__h", heavy["__h"])
-    w = Window.partitionBy(*keys)
-    names = [c for c in rows.columns if c != "__h"]
-    light = (
-        rows.where(~hot).withColumns({"__lo": F.min("id").over(w), "__hi": F.max("id").over(w)})
-        .where("__lo < __hi").select(*names).dropDuplicates([*keys, *unique])
-    )
-    if not heavy["__h"]:
-        return light
-    dense = cut(rows.where(hot))  # read twice below
-    shared = dense.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(*keys)
-    dense = dense.join(F.broadcast(shared), list(keys), "left_semi").select(*names)
-    return light.unionByName(dense.dropDuplicates([*keys, *unique]))
+    ends = rows.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    shared = cut(ends.where("lo < hi").select(*keys))
+    few = shared.count() <= broadcast_keys
+    return rows.join(F.broadcast(shared) if few else shared.hint("merge"), list(keys), "left_semi")
 
 
-def shared_windows(reads: DataFrame, min_length: int, share: float = HEAVY_SHARE) -> DataFrame:
+def shared_windows(reads: DataFrame, min_length: int, broadcast_keys: float = BROADCAST_KEYS) -> DataFrame:
     """Windows of ``min_length`` letters that stand in the sequences of at least two ids.
 
     ``reads`` has ``id`` and ``sequence``; ``min_length`` is at least 32. A window holds only A, C, G
     and T in either case. Output: ``id``, ``key`` (names one of the id's different sequences), ``pos`` (from
     0, in letters), ``a``, ``b`` (what the window says). Rows with a null id or sequence are left
     out, rows sent again with the same sequence count once, two rows of one id don't share with each
-    other, other columns are ignored, and an empty table gives no rows.
+    other, other columns are ignored, and an empty table gives no rows. Up to ``broadcast_keys`` repeated windows are
+    broadcast as a list.
     """
     require_columns(reads, "id", "sequence")
     if min_length < SEED:
@@ -157,15 +154,19 @@ def shared_windows(reads: DataFrame, min_length: int, share: float = HEAVY_SHARE
     source = reads.where(F.col("id").isNotNull() & (F.length("sequence") >= level)).select(
         F.col("id").cast("long").alias("id"), F.xxhash64(F.upper("sequence")).alias("key"), "sequence"
     )
-    contexts = source.mapInArrow(_contexts(level), _CONTEXT)
-    seeds = cut(_repeated(contexts, ["anchor"], ["id", "key", "pos"], share))
-    windows = cut(_repeated(_windows(seeds, level), ["a", "b"], ["id", "key", "pos"], share))
+    contexts = cut(source.mapInArrow(_contexts(level), _CONTEXT))
+    seeds = cut(_repeated(contexts, ["anchor"], broadcast_keys).dropDuplicates(["id", "key", "pos"]))  # the same read may be there again
+    discard(contexts)
+    windows = cut(_repeated(_windows(seeds, level), ["a", "b"], broadcast_keys))
+    discard(seeds)
     while level < min_length:
-        windows, level = _extend(windows, level, min(2 * level, min_length), share), min(2 * level, min_length)
+        shorter, length = windows, min(2 * level, min_length)
+        windows, level = _extend(shorter, level, length, broadcast_keys), length
+        discard(shorter)
     return windows
 
 
-def _extend(windows: DataFrame, level: int, length: int, share: float) -> DataFrame:
+def _extend(windows: DataFrame, level: int, length: int, broadcast_keys: float) -> DataFrame:
     """The repeated windows of ``length``, at most twice ``level``: two repeated windows that cover it."""
     step = length - level
     # By position modulo the step, the window one step on is the next row, and a long sequence is many groups.
@@ -176,20 +177,23 @@ def _extend(windows: DataFrame, level: int, length: int, share: float) -> DataFr
         F.xxhash64("a", "b", "a2", "b2").alias("a"),
         F.xxhash64(F.lit(length), "b2", "a2", "b", "a").alias("b"),
     )
-    return cut(_repeated(longer, ["a", "b"], ["id", "key", "pos"], share))
+    longer = cut(longer)  # read twice
+    found = cut(_repeated(longer, ["a", "b"], broadcast_keys))
+    discard(longer)
+    return found
 
 
-def shared_spans(reads: DataFrame, min_length: int, share: float = HEAVY_SHARE) -> DataFrame:
+def shared_spans(reads: DataFrame, min_length: int, broadcast_keys: float = BROADCAST_KEYS) -> DataFrame:
     """The stretches of each sequence that are covered by shared windows of ``min_length``.
 
     Output: ``id``, ``key``, ``start`` (from 0), ``length``, and ``longest``: the longest of the lengths
     min_length, 2 min_length, 4 min_length .. at which a window inside the stretch is still
     shared as a whole. Cases as in :func:`shared_windows`.
     """
-    windows, level = shared_windows(reads, min_length, share), min_length
+    windows, level = shared_windows(reads, min_length, broadcast_keys), min_length
     levels = windows.select("id", "key", "pos", F.lit(level).alias("level"))
     while True:
-        windows, level = _extend(windows, level, 2 * level, share), 2 * level
+        windows, level = _extend(windows, level, 2 * level, broadcast_keys), 2 * level
         if windows.isEmpty():
             break
         levels = levels.unionByName(windows.select("id", "key", "pos", F.lit(level).alias("level")))
