@@ -4,13 +4,14 @@ Items are dealt into shards of bounded size, in turn, so that a shard looks like
 starts from a best fit of its items in falling order and is then improved by a local search that
 tries to empty its least filled container: an item moves to another container, or changes places with
 one or two smaller ones there. Every step makes fuller containers fuller at the cost of emptier ones, which
-raises the sum of squared fills, so the search ends. It stops early at the fewest containers
-that could hold the shard. At most about one container a shard stays partly empty.
+raises the sum of squared fills, so the search ends: when no move or exchange helps, at the fewest containers
+that could hold the shard, or, if asked to, after a number of tries. At most about one container a shard stays partly empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,6 @@ from strandlake.llm.tokens import with_sizes
 SHARD_ITEMS = 10_000
 #: Most tasks that pack shards. The rows are few and small but costly, so that their bytes alone would give one task.
 TASKS = 10_000
-#: Steps of the search for each container, and how far apart in a container two items exchanged for one may stand.
-EFFORT, REACH = 20, 16
 
 _OUT = "container_id long, doc_id long, piece int, token_start long, n_tokens int, fill int, is_split boolean"
 
@@ -72,6 +71,8 @@ def _step(
     others = others[np.lexsort((sizes[others], where[others]))]
     size, bins = sizes[others], where[others]
     room = free[bins]
+    # Containers and sizes as one rising number, by which an item's partner is looked up.
+    place = bins * (2 * capacity + 1) + size
     for x in own.tolist():
         s = int(sizes[x])
         fitting = open_bins[free[open_bins] >= s]
@@ -87,15 +88,19 @@ def _step(
             _move(sizes, where, fills, [x], source, to)
             _move(sizes, where, fills, [int(others[y])], to, source)
             return True
-        for apart in range(1, min(REACH, len(others) - 1) + 1):
-            gain = s - size[:-apart] - size[apart:]
-            good = np.flatnonzero((bins[:-apart] == bins[apart:]) & (gain > 0) & (gain <= room[:-apart]))
-            if len(good):
-                y = good[np.argmax(gain[good])]
-                to = int(bins[y])
-                _move(sizes, where, fills, [x], source, to)
-                _move(sizes, where, fills, [int(others[y]), int(others[y + apart])], to, source)
-                return True
+        # For each item the smallest partner further on in its container with which the two leave room enough for x.
+        least = np.maximum(s - room - size, 0)
+        partner = np.maximum(np.searchsorted(place, bins * (2 * capacity + 1) + least), np.arange(len(others)) + 1)
+        there = partner < len(others)
+        partner[~there] = 0
+        gain = s - size - size[partner]
+        good = np.flatnonzero(there & (bins[partner] == bins) & (gain > 0) & (gain <= room))
+        if len(good):
+            y = good[np.argmax(gain[good])]
+            to = int(bins[y])
+            _move(sizes, where, fills, [x], source, to)
+            _move(sizes, where, fills, [int(others[y]), int(others[partner[y]])], to, source)
+            return True
     return False
 
 
@@ -106,8 +111,8 @@ def _move(sizes: np.ndarray, where: np.ndarray, fills: np.ndarray, items: list[i
     fills[to] += total
 
 
-def local_search(sizes: np.ndarray, where: np.ndarray, fills: np.ndarray, capacity: int) -> None:
-    """Empties containers by moves and exchanges, in place, until none helps or the effort is spent.
+def local_search(sizes: np.ndarray, where: np.ndarray, fills: np.ndarray, capacity: int, effort: int | None = None) -> None:
+    """Empties containers by moves and exchanges, in place, until none helps, or after ``effort`` tries a container.
 
     A container that failed is tried again with only those that changed since; the others still offer it nothing.
     """
@@ -116,7 +121,7 @@ def local_search(sizes: np.ndarray, where: np.ndarray, fills: np.ndarray, capaci
     # By container: the step that changed it last, and the steps done when it failed, -1 if it has changed since.
     changed, failed = np.zeros(len(fills), np.int64), np.full(len(fills), -1)
     steps = 0
-    for _ in range(EFFORT * len(fills)):
+    for _ in count() if effort is None else range(effort * len(fills)):
         if np.count_nonzero(fills) <= least:
             return
         candidates = np.flatnonzero((fills > 0) & (fills < capacity) & (failed < steps))
@@ -132,15 +137,15 @@ def local_search(sizes: np.ndarray, where: np.ndarray, fills: np.ndarray, capaci
             failed[source] = steps
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int, effort: int | None = None) -> np.ndarray:
     """A container for each size (1 to ``capacity``), numbered from 0 without gaps."""
     where, start = best_fit(sizes, capacity)
     fills = np.array(start, np.int64)
-    local_search(sizes, where, fills, capacity)
+    local_search(sizes, where, fills, capacity, effort)
     return np.unique(where, return_inverse=True)[1] if len(where) else where
 
 
-def _pack_shard(capacity: int):
+def _pack_shard(capacity: int, effort: int | None):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         docs = table.column("doc_id").combine_chunks()
@@ -150,7 +155,7 @@ def _pack_shard(capacity: int):
         whole = np.where(sizes == capacity, capacity, rest)  # what is put together with others
         full = np.where(sizes == capacity, 0, full)
         items = np.flatnonzero(whole > 0)
-        where = pack(whole[items], capacity)
+        where = pack(whole[items], capacity, effort)
         n_bins = int(where.max()) + 1 if len(where) else 0
         # Full containers of larger items come after the shared ones; items without tokens go to the first one.
         big = np.repeat(np.arange(len(sizes)), full)
@@ -188,7 +193,12 @@ def _deal(shards: int):
 
 
 def fill_containers(
-    docs: DataFrame, capacity: int, doc_id: str = "doc_id", text: str = "text", shard_items: int = SHARD_ITEMS
+    docs: DataFrame,
+    capacity: int,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shard_items: int = SHARD_ITEMS,
+    effort: int | None = None,
 ) -> DataFrame:
     """Every document in a container of ``capacity`` tokens, whole unless it is larger than one.
 
@@ -196,7 +206,8 @@ def fill_containers(
     LONG, ``n_tokens`` INT, ``fill`` INT (tokens in the container), ``is_split``. A larger document
     fills whole containers of its own; its rest is put together with others like an item. Documents of
     no tokens (null, empty, blank) go, with 0 tokens, to the first container of their shard. Each row is an
-    item of its own, also if repeated or with a null id; other columns are ignored; an empty table gives no rows.
+    item of its own, also if repeated or with a null id; other columns are ignored; an empty table gives no rows. Shards of
+    ``shard_items`` documents are searched until no exchange helps, or, with ``effort``, for so many tries a container.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -204,4 +215,4 @@ def fill_containers(
     sizes = with_sizes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"])
     dealt = sizes.mapInArrow(_deal(shards), "doc_id long, n_tokens long, shard long")
     dealt = dealt.repartition(min(shards, TASKS), "shard")
-    return dealt.groupBy("shard").applyInArrow(_pack_shard(capacity), _OUT)
+    return dealt.groupBy("shard").applyInArrow(_pack_shard(capacity, effort), _OUT)
