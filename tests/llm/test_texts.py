@@ -208,3 +208,35 @@ def test_mix_of_nothing(spark, mixed):
         mix = mixing.mix(docs, targets)
         assert mix.draw.count() == 0
         assert all(r["drawn_tokens"] == 0 for r in mix.report.collect())
+
+
+def test_table_is_raked_as_the_driver_rakes(spark, mixed, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 3)
+    goals = spark.createDataFrame([("a", 0.2, 1), ("b", 0.3, 2), ("c", 0.5, 2)], "source string, target_share double, max_repeats int")
+    key = ["source", "doc_id", "n_tokens", "uses"]
+    one, two = (mixing.mix(mixed, goals, driver_cells=n).draw.toPandas()[key].sort_values(key) for n in (1000, 0))
+    assert repr(one.values.tolist()) == repr(two.values.tolist())
+
+
+def test_unknown_languages_are_one_category(spark):
+    """Null and '' are two languages; margins may be given, their names not clash."""
+    rows = [(i, "w", "ab"[i % 2], None if i % 4 < 2 else "", "f") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, file_path string")
+    goals = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    assert mixing.mix(df, goals, margins={"lang": F.col("lang")}).draw.count() == 40
+    with pytest.raises(ValueError, match="clash"):
+        mixing.mix(df, goals, margins={"row": F.col("lang")})
+
+
+def test_search_looks_at_all_pairs():
+    """The two items that make room stand at the ends of their container."""
+    sizes = np.array([19, *[1] * 20, 10, *[5] * 5, 8])
+    where = np.array([0, *[1] * 27])
+    fills = np.bincount(where, weights=sizes).astype(np.int64)
+    assert packing._step(sizes, where, fills, 0, 64) and fills.tolist() == [18, 64]
+
+
+def test_effort_is_optional():
+    sizes = np.random.default_rng(0).integers(300, 801, 400)
+    counts = [packing.pack(sizes, 2048, effort).max() + 1 for effort in (0, 1, None)]
+    assert counts == sorted(counts, reverse=True) and counts[0] == len(packing.best_fit(sizes, 2048)[1])
