@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions.kernels import SketchParams
 from strandlake.llm.mixing import mix
-from strandlake.llm.ngrams import ngram_counts
+from strandlake.llm.ngrams import ngram_counts, suffixes
 from strandlake.llm.overlap import overlap_sizes
 from strandlake.llm.packing import fill_containers
 from strandlake.llm.spans import shared_shares, shared_spans, shared_windows
@@ -14,6 +15,8 @@ from strandlake.llm.splitting import split_documents
 from strandlake.llm.sql import ORACLE  # noqa: F401
 from strandlake.llm.topn import top_per_group
 from strandlake.operators.entries import valid_entries
+from strandlake.operators.reads import latest_reads
+from strandlake.operators.sketch import strand_minimizers
 from strandlake.runtime import small, table
 
 #: p1: overlap as a share of the smaller set. p2: items per group. p4: buckets from which on a minimizer is common.
@@ -21,6 +24,9 @@ MIN_SHARE, TOP, COMMON = 0.25, 3, 16
 #: p5: letters of a span. p6: tokens of a container. p8: tokens of a piece, and those shared with the one before.
 SPAN, CAPACITY, LIMIT, OVERLAP = 64, 2048, 512, 32
 
+#: p4: how the minimizers of reads are made, and the most that follow each other in a run.
+READ_TERMS, RUN = SketchParams(32, 50), 3
+
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid_entries(table(spark, sf_dir, "index_shard"), table(spark, sf_dir, "bucket_dim"))
@@ -75,6 +81,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_counts(spark, sf_dir).where("freq_class <> 'useful'").select("minimizer", "freq_class")
 
 
+def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one to three minimizers that follow each other in the reads: their occurrences and reads."""
+    reads = latest_reads(table(spark, sf_dir, "read_records"))
+    terms = strand_minimizers(reads, READ_TERMS, ["id"]).select("id", "fwd_hashes")
+    return ngram_counts(suffixes(terms, ["id"], "fwd_hashes", RUN), ["id"], RUN).select(
+        "n", *[f"t{i + 1}" for i in range(RUN)], "occurrences", F.col("records_1").alias("n_reads"),
+        F.when(F.col("records_1") >= COMMON, "common").when(F.col("records_1") == 1, "rare").otherwise("useful").alias("freq_class"),
+    )
+
+
 def p5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stretches of each read that stand elsewhere, and the longest window in each that is shared whole."""
     return shared_spans(table(spark, sf_dir, "read_records"), SPAN).drop("key")
@@ -99,6 +115,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_containers(spark, sf_dir).where("is_split").select("doc_id").distinct()
 
 
+def p6_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every document whatever the containers are: tokens and pieces placed, in containers that aren't overfull."""
+    fill = F.sum("n_tokens").over(Window.partitionBy("container_id"))
+    placed = p6_containers(spark, sf_dir).withColumn("sound", (fill == F.col("fill")) & (fill <= CAPACITY))
+    return placed.groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_pieces"), F.bool_and("is_split").alias("is_split"),
+        F.bool_and("sound").alias("sound"),
+    )
+
+
 def p7_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is used."""
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).draw
@@ -109,6 +135,19 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report
 
 
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every target whatever is drawn: no document used too often, the share missed by no more than a document."""
+    mixed = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    used = mixed.draw.groupBy("source").agg(F.max("uses").alias("uses"), F.max("n_tokens").alias("largest"))
+    most = F.col("tokens") * F.col("max_repeats")
+    near = F.abs(F.col("drawn_tokens") - F.col("wanted_tokens")) <= F.coalesce("largest", F.lit(0))
+    return mixed.report.join(used, "source", "left").select(
+        "source", "target_share", "max_repeats", "tokens", "reachable",
+        (F.coalesce("uses", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"),
+        F.when(F.col("reachable"), near).otherwise(F.col("drawn_tokens") == most).alias("on_target"),
+    )
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = F.col("drawn_tokens") < F.col("wanted_tokens")
     return p7_report(spark, sf_dir).where(~F.col("reachable") & short).select("source")
@@ -124,8 +163,20 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.select("doc_id", F.col("cut_line").alias("line_no")).distinct()
 
 
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every document wherever it is cut: its pieces are under the limit, overlap as told, and make up the text."""
+    w = Window.partitionBy("doc_id").orderBy("piece")
+    follows = F.coalesce(F.lag("token_end").over(w) == F.col("token_start") + F.col("overlap"), F.col("token_start") == 0)
+    size = F.col("token_end") - F.col("token_start")
+    sound = follows & (size <= LIMIT) & (F.col("overlap") <= OVERLAP) & (F.col("char_end") >= F.col("char_start"))
+    return p8_pieces(spark, sf_dir).withColumn("sound", sound).groupBy("doc_id").agg(
+        F.max("token_end").alias("n_tokens"), F.max("char_end").alias("n_chars"),
+        (F.count(F.lit(1)) == 1).alias("is_whole"), F.bool_and("sound").alias("sound"),
+    )
+
+
 _ALL = [
-    p1_found, p1_overlaps, p2_found, p2_top, p4_found, p4_counts, p5_found, p5_spans, p5_shares,
-    p6_found, p6_containers, p7_found, p7_draw, p7_report, p8_found, p8_pieces,
+    p1_found, p1_overlaps, p2_found, p2_top, p4_found, p4_counts, p4_runs, p5_found, p5_spans, p5_shares,
+    p6_found, p6_containers, p6_documents, p7_found, p7_draw, p7_report, p7_shares, p8_found, p8_pieces, p8_limits,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
