@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import math
 import os
 import re
@@ -23,16 +24,16 @@ def parse_bytes(text: str) -> int | None:
         return None
     match = re.fullmatch(r"([0-9.]+)\s*(.*)", text, re.DOTALL)
     if not match:
-        raise ValueError(f"Invalid byte size: {text!r} (no numeric value)")
+        raise ValueError(f"{text!r} is no size: it begins with no number")
     number, unit = match[1], match[2].strip().upper()
     if unit not in _UNITS:
-        raise ValueError(f"Unknown byte suffix: {match[2]!r} (use B, K, M, G, or T)")
+        raise ValueError(f"{text!r} is no size: {match[2]!r} is not a unit")
     try:
         size = float(number) * 1024 ** _UNITS[unit]
     except ValueError:
-        raise ValueError(f"Invalid numeric value: {number!r}") from None
+        raise ValueError(f"{text!r} is no size: {number!r} is not a number") from None
     if not math.isfinite(size) or size >= 2**64:
-        raise ValueError(f"Byte size overflow: {text!r}")
+        raise ValueError(f"{text!r} is more than 64 bits can count")
     return math.floor(size + 0.5)
 
 
@@ -52,7 +53,7 @@ def format_duration(seconds: float) -> str:
 def parse_bloom_fpp(text: str) -> float:
     fpp = float(text)
     if not 0 < fpp < 1:
-        raise ValueError(f"bloom filter fpp must be in (0.0, 1.0), got {text}")
+        raise ValueError(f"a bloom filter's rate of false positives lies between 0 and 1, not at {text}")
     return fpp
 
 
@@ -60,9 +61,9 @@ def parse_length(text: str, name: str) -> int:
     """A positive length; a warning below the smallest k."""
     value = int(text)
     if value < 1:
-        raise ValueError(f"{name} must be greater than 0")
+        raise ValueError(f"{name}: a length is 1 or more")
     if value < min(SIZES):
-        warnings.warn(f"{name} {value} is smaller than the minimum k-mer size ({min(SIZES)})", stacklevel=2)
+        warnings.warn(f"{name}: {value} letters are too few for any k, which is {min(SIZES)} or more", stacklevel=2)
     return value
 
 
@@ -83,7 +84,7 @@ def _load(path: str) -> tuple[dict, str]:
         try:
             return tomllib.load(f), os.path.dirname(os.path.abspath(path))
         except tomllib.TOMLDecodeError as e:
-            raise ValueError(f"Failed to parse TOML config: {e}") from e
+            raise ValueError(f"{path} is not TOML: {e}") from e
 
 
 def _require(table: dict, section: str, *keys: str) -> None:
@@ -107,11 +108,11 @@ def read_index_config(path: str) -> IndexConfig:
     index, buckets = raw["index"], raw.get("buckets", {})
     _require(index, "index", "window", "salt", "output")
     if not buckets:
-        raise ValueError("Config must define at least one bucket")
+        raise ValueError(f"{path} names no bucket")
     files = {}
     for name in sorted(buckets):
         if not buckets[name].get("files"):
-            raise ValueError(f"Bucket '{name}' has no files")
+            raise ValueError(f"{path}: nothing goes into bucket {name!r}")
         files[name] = _existing(folder, buckets[name]["files"], f"bucket '{name}'")
     return IndexConfig(
         SketchParams(index.get("k", 64), index["window"], index["salt"]),
@@ -147,13 +148,13 @@ def read_add_config(path: str) -> AddConfig:
     _require(assignment, "assignment", *needed[mode])
     threshold = assignment.get("threshold")
     if threshold is not None and not 0 <= threshold <= 1:
-        raise ValueError(f"threshold must be between 0.0 and 1.0 (got {threshold})")
+        raise ValueError(f"{path}: the threshold {threshold} isn't a score")
     fallback = assignment.get("fallback", "create_new")
     if fallback not in _FALLBACKS:
         raise ValueError(f"unknown fallback: {fallback}")
     paths = raw["files"].get("paths")
     if not paths:
-        raise ValueError("Config must specify at least one file in [files].paths")
+        raise ValueError(f"{path} lists nothing to add")
     return AddConfig(
         _existing(folder, [raw["target"]["index"]], "target index")[0],
         mode,
@@ -181,17 +182,50 @@ def write_index_config(path: str, params: SketchParams, output: str, buckets: di
         f.write("\n".join(lines) + "\n")
 
 
+def _sequence_files(folder: str, extensions: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Name without the extension, and path, of the folder's files that have one of the extensions."""
+    found = []
+    for file in sorted(os.listdir(folder)):
+        ending = max((e for e in extensions if file.endswith(e)), key=len, default=None)
+        if ending is not None:
+            found.append((file[: -len(ending)], os.path.join(folder, file)))
+    if not found:
+        raise ValueError(f"{folder} holds no file ending in {', '.join(extensions)}")
+    return found
+
+
 def buckets_per_file(folder: str, extensions: tuple[str, ...]) -> dict[str, list[str]]:
     """A bucket for every sequence file of a folder, named by the file without its extensions."""
     out: dict[str, list[str]] = {}
-    for file in sorted(os.listdir(folder)):
-        ending = max((e for e in extensions if file.endswith(e)), key=len, default=None)
-        if ending is None:
-            continue
-        name = file[: -len(ending)]
+    for name, path in _sequence_files(folder, extensions):
         if name in out:
-            raise ValueError(f"Duplicate bucket names detected: {name}")
-        out[name] = [os.path.join(folder, file)]
-    if not out:
-        raise ValueError(f"No sequence files found in {folder}")
+            raise ValueError(f"several files would be bucket {name}")
+        out[name] = [path]
     return out
+
+
+def read_file_list(path: str) -> list[dict[str, str]]:
+    """The rows of a tab-separated list with a column ``file_path`` and perhaps ``group_label``, blanks removed, empty lines skipped."""
+    with open(path, newline="") as f:
+        rows = [{k: (v or "").strip() for k, v in r.items() if k} for r in csv.DictReader(f, delimiter="\t")]
+    rows = [r for r in rows if any(r.values())]
+    if not rows or any(not r.get("file_path") for r in rows):
+        raise ValueError(f"{path} lists no files in a column file_path")
+    return rows
+
+
+def one_bucket(name: str, source: str, extensions: tuple[str, ...]) -> dict[str, list[str]]:
+    """One bucket of all sequence files of a folder, or of all files of a list (:func:`read_file_list`)."""
+    if os.path.isdir(source):
+        return {name: [path for _, path in _sequence_files(source, extensions)]}
+    return {name: [r["file_path"] for r in read_file_list(source)]}
+
+
+def grouped_buckets(source: str, n: int) -> dict[str, list[str]]:
+    """The files of a list dealt to ``n`` buckets in the order of their labels; the first ones get one more if they aren't even."""
+    rows = sorted(read_file_list(source), key=lambda r: r.get("group_label", ""))
+    if not 1 <= n <= len(rows):
+        raise ValueError(f"{len(rows)} files don't fill {n} buckets")
+    size, more = divmod(len(rows), n)
+    ends = [i * size + min(i, more) for i in range(n + 1)]
+    return {f"bucket_{i}": [r["file_path"] for r in rows[ends[i] : ends[i + 1]]] for i in range(n)}

@@ -81,9 +81,14 @@ def source_path(label: Column | str) -> Column:
 
 
 def count_hits(minimizers: Column | str, bucket: Column | str) -> Column:
-    """How many elements of ``minimizers``, repeats counted, are in ``bucket``."""
-    bucket = _col(bucket)
-    return F.size(F.filter(_col(minimizers), lambda m: F.array_contains(bucket, m)))
+    """How many elements of ``minimizers``, repeats counted, are in ``bucket``. Nulls are in none.
+
+    Repeats are what is left when the distinct elements are taken away, so that neither list is searched for each element:
+    a map from the bucket's elements is looked up instead.
+    """
+    known = F.array_intersect(_col(minimizers), _col(bucket))
+    lookup = F.map_from_arrays(F.filter(known, F.isnotnull), F.filter(known, F.isnotnull))
+    return F.size(F.filter(_col(minimizers), lambda m: F.try_element_at(lookup, m).isNotNull()))
 
 
 def intersection_size(a: Column | str, b: Column | str) -> Column:
@@ -122,13 +127,28 @@ def log_ratio_label(numerator: Column | str, denominator: Column | str) -> Colum
 
 
 def fixed4(x: Column | str) -> Column:
-    """Four decimals; ``NaN``, ``inf`` and ``-inf`` for the special values."""
+    """Four decimals of the exact binary value, a tie going to the even digit; ``NaN``, ``inf`` and ``-inf`` for the special values.
+
+    The product with 10,000 is taken as a rounded one and its exact error: halves of 26 bits multiply without one. Beyond
+    2**40, where no product would be exact, whole numbers are near enough that Java's formatting serves.
+    """
     x = _col(x)
+    size = F.abs(x)
+    split = size * F.lit(134217729.0)  # 2**27 + 1
+    high = split - (split - size)
+    product = size * F.lit(1e4)
+    error = (high * F.lit(1e4) - product) + (size - high) * F.lit(1e4)
+    whole = F.floor(product)
+    beyond = (product - whole) - F.lit(0.5) + error
+    up = (beyond > 0) | ((beyond == 0) & (F.pmod(whole, F.lit(2)) == 1))
+    n = whole + up.cast("long")
+    digits = F.concat_ws(".", F.floor(n / F.lit(10_000)).cast("string"), F.lpad(F.pmod(n, F.lit(10_000)).cast("string"), 4, "0"))
     return (
         F.when(F.isnan(x), "NaN")
         .when(x == F.lit(float("inf")), "inf")
         .when(x == F.lit(float("-inf")), "-inf")
-        .otherwise(F.format_string("%.4f", x))
+        .when(size >= F.lit(2.0**40), F.format_string("%.4f", x))
+        .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), digits))
     )
 
 

@@ -12,20 +12,34 @@ from strandlake.operators import index as ix
 from strandlake.operators.chunks import bucket_ids
 from strandlake.operators.classify import aggregate
 from strandlake.operators.orientation import build_growing, build_oriented
-from strandlake.runtime import small
+from strandlake.runtime import cut, small
 from strandlake.sources.fastx import numbered, read_fastx
 from strandlake.sources.store import StoredIndex, check_compatible, open_index, write_index
 
+#: Bytes of an index entry, by which a largest size of shards is counted in entries.
+ENTRY_BYTES = 12
+
 
 def references(spark: SparkSession, buckets: dict[str, list[str]]) -> DataFrame:
-    """The sequences of all files with their bucket: ``bucket_name``, ``file``, ``ordinal``, ``header``, ``sequence``."""
+    """The sequences of all files with their bucket: ``bucket_name``, ``file``, ``ordinal``, ``header``, ``sequence``.
+
+    Names that become equal when cleaned are an error.
+    """
     listed = [(name, file) for name, files in buckets.items() for file in files]
     names = spark.createDataFrame(listed, "bucket_name string, file string")
+    _check_names(names.select("bucket_name"))
     records = numbered(read_fastx(spark, *dict.fromkeys(f for _, f in listed)))
     named = records.join(small(names), "file")
     return named.select(sanitize_bucket_name("bucket_name").alias("bucket_name"), "file", "ordinal", "header", "sequence")
 
 
+def _check_names(names: DataFrame) -> None:
+    clean = names.select("bucket_name", sanitize_bucket_name("bucket_name").alias("clean"))
+    shared = clean.groupBy("clean").agg(F.countDistinct("bucket_name").alias("n")).where("n > 1").limit(3).collect()
+    if shared:
+        raise ValueError(f"different buckets would be named {', '.join(r['clean'] for r in shared)}")
+
+
 def bucket_table(refs: DataFrame) -> DataFrame:
     """The bucket dimension of references that have ``bucket_id``, with statistics over the files' lengths."""
     stats = ix.file_stats(refs.withColumn("n", F.length("sequence")), "bucket_id", "file", "n")
@@ -44,13 +58,17 @@ def create(spark: SparkSession, files: list[str], path: str, params: SketchParam
     """An index with a bucket for each file, or for each sequence with ``separate``; forward strands."""
     refs = references(spark, {f: [f] for f in files})
     if separate:
+        # Headers name the buckets: equal ones, or ones that become equal, would be pooled.
+        twice = refs.groupBy(sanitize_bucket_name("header").alias("name")).count().where("count > 1").limit(3).collect()
+        if twice:
+            raise ValueError(f"several sequences would be bucket {', '.join(r['name'] for r in twice)}")
         refs = refs.withColumns({"bucket_name": sanitize_bucket_name("header"), "file": F.concat_ws("#", "file", "ordinal")})
     refs = _with_ids(refs)
     write_index(ix.build_index(refs, params), bucket_table(refs), path, params, **store)
 
 
 def from_config(spark: SparkSession, config: IndexConfig, exclude: StoredIndex | None = None, orient: bool | None = None, **store) -> None:
-    """The index of a configuration; ids go by the names of the buckets.
+    """The index of a configuration; ids go by the names of the buckets. A largest size of shards holds for the files written.
 
     With orientation, a bucket grows sequence by sequence; if it is the only one, its first file goes in as it is and is
     the baseline of the others.
@@ -71,6 +89,8 @@ def from_config(spark: SparkSession, config: IndexConfig, exclude: StoredIndex |
         if exclude.params != config.params:
             raise ValueError("the index to subtract has other parameters")
         entries = ix.subtract(entries, exclude.entries)
+    if config.max_shard_size:
+        store.setdefault("max_records_per_file", max(1, config.max_shard_size // ENTRY_BYTES))
     write_index(entries, bucket_table(refs), config.output, config.params, **store)
 
 
@@ -78,10 +98,10 @@ def merge(spark: SparkSession, primary: str, secondary: str, path: str, subtract
     """Two stored indices as one; the secondary's buckets get the ids after the primary's."""
     a, b = open_index(spark, primary), open_index(spark, secondary)
     check_compatible(a, b)
-    kept = ix.subtract(b.entries, a.entries) if subtract else None
+    kept = cut(ix.subtract(b.entries.select(*ix.PAIR), a.entries)) if subtract else None
     ix.check_merge(a.buckets, b.buckets, kept)
     ids = ix.merged_ids(a.buckets, b.buckets)
-    entries = ix.merge_indices(a.entries, b.entries, ids, subtract)
+    entries = ix.merge_indices(a.entries, b.entries if kept is None else kept, ids)
     sides = [s.buckets.withColumn("side", F.lit(i)).withColumnRenamed("bucket_id", "old_id") for i, s in enumerate((a, b))]
     renamed = ids.select("side", "old_id", "bucket_id")
     buckets = sides[0].unionByName(sides[1]).join(renamed, ["side", "old_id"]).drop("side", "old_id")

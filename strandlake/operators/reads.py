@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.encoding import base_read_id, trim_reads  # noqa: F401
 from strandlake.runtime import require_columns
+from strandlake.sources.fastx import numbered, read_fastx
 
 
 def latest_reads(reads: DataFrame) -> DataFrame:
@@ -47,3 +48,8 @@ def zip_mates(first: DataFrame, second: DataFrame, strict: bool = True) -> DataF
         "ordinal", base_read_id("header").alias("read_id"), first_sequence.alias("seq1"),
         F.col("quality").alias("qual1"), "seq2", "qual2",
     )
+
+
+def fastx_pairs(spark: SparkSession, first: str, second: str, strict: bool = True) -> DataFrame:
+    """Two files of mates as one table of reads: ``ordinal`` and the columns of :func:`zip_mates`."""
+    return zip_mates(numbered(read_fastx(spark, first)), numbered(read_fastx(spark, second)), strict)

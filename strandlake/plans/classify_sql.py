@@ -86,6 +86,8 @@ SELECT {_H} AS minimizer, new.bucket_id FROM kept JOIN new ON new.old_id = kept.
   count(*) FILTER (strand = 1) AS rc_total FROM s GROUP BY key""",
     "hit_counts": f"{_SCORED} SELECT query_id, bucket_id, fwd_hits, rc_hits FROM x",
     "classify_long": f"""{_SCORED} SELECT query_id, bucket_name, score FROM x JOIN ids ON ids.bucket_id = x.bucket_id
+WHERE score >= 0.1""",
+    "classify_formatted": f"""{_SCORED} SELECT query_id, bucket_name, printf('%.4f', score) AS score FROM x JOIN ids ON ids.bucket_id = x.bucket_id
 WHERE score >= 0.1""",
     "classify_threshold_edge": f"{_SCORED} SELECT query_id, bucket_id, score FROM x WHERE score >= 0.25",
     "classify_all_hits": f"{_SCORED} SELECT query_id, bucket_id, score FROM x",

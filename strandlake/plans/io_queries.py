@@ -93,6 +93,7 @@ ORACLE = {
     "fastq_roundtrip": f"{_READS} SELECT id, sequence, length(sequence) AS n_quality FROM reads WHERE sequence IS NOT NULL",
     "fasta_splits": f"""WITH f AS ({_SKETCH['chunk_reassembly']}), m AS ({_SKETCH['feature_buckets']})
 SELECT f.feature_idx, f.sequence FROM f JOIN m ON m.feature_idx = f.feature_idx""",
+    "results_roundtrip": _CLASSIFY["classify_all_hits"].replace("bucket_id, score FROM x", "bucket_id, CAST(printf('%.4f', score) AS DOUBLE) AS score FROM x"),
     "stream_classify": _CLASSIFY["classify_long"].replace("bucket_name, score FROM x", "x.bucket_id, score FROM x"),
     "stream_log_ratio": _CLASSIFY["log_ratio"],
     "events_by_type": """WITH t AS (SELECT event_type, user_id, CAST(sum(coalesce(value, 0)) AS DOUBLE) AS n FROM events GROUP BY 1, 2)

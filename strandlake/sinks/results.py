@@ -15,11 +15,16 @@ TSV, TSV_GZ, PARQUET = "tsv", "tsv.gz", "parquet"
 PLACEHOLDER = "I"
 
 
-def output_format(path: str | None) -> str:
-    """By the extension: Parquet, gzip text, else text; text for no path and ``-``."""
+def output_format(path: str | None, kind: str | None = None) -> str:
+    """``kind`` if given, else by the extension: Parquet, gzip text, else text; text for no path and ``-``.
+
+    No path and ``-`` mean the standard output, which takes text only: other kinds are an error.
+    """
     if path is None or path == "-":
+        if kind not in (None, TSV):
+            raise ValueError(f"{kind} can't go to the standard output")
         return TSV
-    return {".parquet": PARQUET, ".gz": TSV_GZ}.get(os.path.splitext(path)[1], TSV)
+    return kind or {".parquet": PARQUET, ".gz": TSV_GZ}.get(os.path.splitext(path)[1], TSV)
 
 
 def formatted(hits: DataFrame, scores: Sequence[str] = ("score",)) -> DataFrame:
@@ -27,16 +32,23 @@ def formatted(hits: DataFrame, scores: Sequence[str] = ("score",)) -> DataFrame:
     return hits.withColumns({c: fixed4(c) for c in scores})
 
 
-def write_results(hits: DataFrame, path: str, scores: Sequence[str] = ("score",), rounded: bool = False) -> None:
-    """Hits in the form the path's extension asks for, as a folder of parts.
+def write_results(
+    hits: DataFrame, path: str | None, scores: Sequence[str] = ("score",), rounded: bool = False, kind: str | None = None
+) -> None:
+    """Hits in the form the path's extension, or ``kind``, asks for, as a folder of parts; as text to the standard output without a path.
 
     Text has a header and four decimals. Parquet keeps full precision unless ``rounded``.
     """
-    kind = output_format(path)
+    kind = output_format(path, kind)
     if kind == PARQUET:
         shown = hits.withColumns({c: F.round(c, 4) for c in scores}) if rounded else hits
         shown.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return
+    if path is None or path == "-":
+        print(*hits.columns, sep="\t")
+        for row in formatted(hits, scores).toLocalIterator():  # partition by partition
+            print(*("" if v is None else v for v in row), sep="\t")
+        return
     writer = formatted(hits, scores).write.mode("overwrite").option("sep", "\t").option("header", "true")
     if kind == TSV_GZ:
         writer = writer.option("compression", "gzip")
@@ -48,7 +60,7 @@ def sequence_format(path: str) -> str:
     for ending, kind in ((".fasta.gz", "fasta"), (".fa.gz", "fasta"), (".fastq.gz", "fastq"), (".fq.gz", "fastq")):
         if lowered.endswith(ending):
             return kind
-    raise ValueError("Output must end with .fasta.gz, .fa.gz, .fastq.gz, or .fq.gz")
+    raise ValueError(f"{path}: sequences are written as .fasta.gz, .fa.gz, .fastq.gz or .fq.gz")
 
 
 def mate_paths(path: str) -> tuple[str, str]:
@@ -76,14 +88,16 @@ def write_sequences(
 ) -> list[str]:
     """Gzip FASTA or FASTQ by the path's ending; with two ``sequences`` a folder for each mate. The paths written.
 
-    Missing qualities are filled; rows without the sequence are left out, of mates in both folders.
+    Missing qualities are filled; rows without a header or a first sequence are left out. A read without a mate is only in
+    the first folder.
     ``single_file`` gathers all in one task, for small results.
     """
     kind = sequence_format(path)
     paths = list(mate_paths(path)) if len(sequences) == 2 else [path]
-    rows = reads.where(" AND ".join(f"`{s}` IS NOT NULL" for s in [header, *sequences]))
+    rows = reads.where(F.col(header).isNotNull() & F.col(sequences[0]).isNotNull())
     if single_file:
         rows = rows.coalesce(1)
     for target, sequence, quality in zip(paths, sequences, [*qualities, None][: len(paths)], strict=True):
-        rows.select(_record(kind, header, sequence, quality)).write.mode("overwrite").option("compression", "gzip").text(target)
+        own = rows.where(F.col(sequence).isNotNull())
+        own.select(_record(kind, header, sequence, quality)).write.mode("overwrite").option("compression", "gzip").text(target)
     return paths

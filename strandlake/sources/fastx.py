@@ -1,17 +1,22 @@
 """Reading FASTA and FASTQ as the data source ``fastx``.
 
 Plain files are split by bytes, so that one large file is read by many tasks; files compressed as a whole (gzip,
-zstd) are one task each. The paths must be visible to every executor. A record belongs to the split its first byte is in.
+zstd) are one task each. Blocks of bytes are scanned for line ends at once and become Arrow columns without a
+step per line. A path may be a URI of any file system that Arrow knows (file, hdfs, s3, gs), which every executor must
+reach. A record belongs to the split its first byte is in.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import gzip
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -19,10 +24,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from strandlake.runtime import small
 
 SCHEMA = "file string, split int, record long, header string, sequence string, quality string"
-#: Bytes of a split, and rows and letters of a batch.
-SPLIT_BYTES, BATCH_ROWS, BATCH_LETTERS = 64 << 20, 10_000, 16 << 20
+#: Bytes of a split, and of a block that is scanned at once; a block grows if a record is larger.
+SPLIT_BYTES, BLOCK_BYTES = 64 << 20, 8 << 20
 
 _GZIP, _ZSTD = b"\x1f\x8b", b"\x28\xb5\x2f\xfd"
+_LF, _CR, _GREATER, _AT, _PLUS = (ord(c) for c in "\n\r>@+")
 
 
 class _Split(InputPartition):
@@ -30,92 +36,168 @@ class _Split(InputPartition):
         self.path, self.number, self.begin, self.end = path, number, begin, end
 
 
-def _open(path: str):
-    with open(path, "rb") as f:
-        head = f.read(4)
-    if head[:2] == _GZIP:
-        return gzip.open(path, "rb")
-    if head == _ZSTD:
-        import io
+def _system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:"))
 
-        import zstandard
 
-        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(open(path, "rb"), read_across_frames=True))
-    return open(path, "rb")
+def _head(path: str) -> bytes:
+    system, inner = _system(path)
+    with system.open_input_file(inner) as f:
+        return f.read(4)
 
 
 def _is_compressed(path: str) -> bool:
-    with open(path, "rb") as f:
-        head = f.read(4)
+    head = _head(path)
     return head[:2] == _GZIP or head == _ZSTD
 
 
+def _open(path: str):
+    """The file's text as a stream of bytes; plain files can be read from any place."""
+    system, inner = _system(path)
+    head = _head(path)
+    file = system.open_input_file(inner)
+    if head[:2] == _GZIP:
+        return gzip.GzipFile(fileobj=file)
+    if head == _ZSTD:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True)
+    return file
+
+
 def _expand(path: str) -> list[str]:
-    """Files of a path: itself, those of a folder, or those that match a pattern."""
-    if os.path.isdir(path):
-        found = [os.path.join(path, f) for f in os.listdir(path) if not f.startswith((".", "_"))]
-        return sorted(f for f in found if os.path.isfile(f))
-    found = sorted(glob.glob(path)) if glob.has_magic(path) else [path]
-    if not found or not all(os.path.isfile(f) for f in found):
+    """Files of a path: itself, those of a folder, or those whose names match a pattern."""
+    system, inner = _system(path)
+    prefix = path[: len(path) - len(inner)] if "://" in path and path.endswith(inner) else ""
+    folder, name = os.path.split(inner)
+    pattern = any(c in name for c in "*?[")
+    info = system.get_file_info(folder if pattern else inner)
+    if info.type == pafs.FileType.Directory:
+        listed = system.get_file_info(pafs.FileSelector(info.path))
+        files = [f.path for f in listed if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_"))]
+        found = sorted(f for f in files if not pattern or fnmatch.fnmatchcase(os.path.basename(f), name))
+    else:
+        found = [inner] if info.type == pafs.FileType.File and not pattern else []
+    if not found:
         raise FileNotFoundError(path)
-    return found
+    return [prefix + f for f in found] if prefix else found
 
 
-def _text(line: bytes) -> str:
-    return line.rstrip(b"\r\n").decode("utf-8", "replace")
+def _texts(column: pa.Array) -> pa.Array:
+    """Bytes as text; what isn't UTF-8 is replaced."""
+    try:
+        return column.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if b is None else b.decode("utf-8", "replace") for b in column.to_pylist()], pa.string())
 
 
-class _Lines:
-    """Lines with their places, and a look ahead."""
+def _lines(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes, and where each complete line begins and ends (with its line end)."""
+    letters = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(letters == _LF) + 1
+    return letters, np.concatenate([[0], ends[:-1]]) if len(ends) else ends, ends
 
-    def __init__(self, stream, at: int) -> None:
-        self.stream, self.at, self.ahead = stream, at, []
 
-    def take(self) -> tuple[int, bytes]:
-        if self.ahead:
-            return self.ahead.pop(0)
-        line = self.stream.readline()
-        at, self.at = self.at, self.at + len(line)
-        return at, line
+class _Blocks:
+    """What is unread of a split, as growing bytes that begin at ``at``."""
 
-    def peek(self, n: int = 0) -> tuple[int, bytes]:
-        while len(self.ahead) <= n:
-            line = self.stream.readline()
-            self.ahead.append((self.at, line))
-            self.at += len(line)
-        return self.ahead[n]
+    def __init__(self, stream, at: int) -> None:
+        self.stream, self.at, self.data, self.ended = stream, at, b"", False
+
+    def more(self) -> bool:
+        """Reads a block, at least as much as is held; False if there is nothing more."""
+        if self.ended:
+            return False
+        block = self.stream.read(max(BLOCK_BYTES, len(self.data)))
+        if not block:
+            self.ended = True
+            if self.data and not self.data.endswith(b"\n"):
+                self.data += b"\n"
+            return bool(self.data)
+        self.data += block
+        return True
+
+    def drop(self, n: int) -> None:
+        self.data, self.at = self.data[n:], self.at + n
+
+
+def _fastq(blocks: _Blocks, path: str, end: float) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """Headers, sequences and qualities, a block at a time."""
+    while True:
+        letters, begin, stop = _lines(blocks.data)
+        n = len(begin) // 4
+        first, plus = letters[begin[: 4 * n : 4]], letters[begin[2 : 4 * n : 4]]
+        size = stop - begin - 1
+        size -= (size > 0) & (letters[np.maximum(stop - 2, 0)] == _CR)
+        good = (first == _AT) & (plus == _PLUS) & (size[1 : 4 * n : 4] == size[3 : 4 * n : 4])
+        own = blocks.at + begin[: 4 * n : 4] < end
+        count = int(np.argmin(good & own)) if not (good & own).all() else n
+        if count:
+            offsets = pa.py_buffer(np.concatenate([begin, stop[-1:]]).astype(np.int32))
+            lines = pa.Array.from_buffers(pa.binary(), len(begin), [None, offsets, pa.py_buffer(blocks.data)])
+            columns = [_texts(lines.take(pa.array(np.arange(k, 4 * count, 4)))) for k in (0, 1, 3)]
+            header, sequence, quality = (pc.utf8_rtrim(c, "\r\n") for c in columns)
+            yield pc.utf8_slice_codeunits(header, 1), sequence, quality
+            blocks.drop(int(stop[4 * count - 1]))
+        if count < n:
+            if not own[count]:
+                return
+            if size[4 * count] or first[count] != _LF and first[count] != _CR:
+                raise ValueError(f"{path}: invalid FASTQ record at byte {blocks.at}")
+            blocks.drop(int(stop[4 * count] - begin[4 * count]))  # an empty line between records
+        elif not blocks.more():
+            if blocks.data.strip() and blocks.at < end:
+                raise ValueError(f"{path}: invalid FASTQ record at byte {blocks.at}")
+            return
 
 
-def _records(lines: _Lines, path: str, end: float) -> Iterator[tuple[str, str, str | None]]:
+def _fasta(blocks: _Blocks, path: str, end: float) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
     while True:
-        at, line = lines.peek()
-        if not line or at >= end:
+        letters, begin, stop = _lines(blocks.data)
+        is_header = letters[begin] == _GREATER
+        heads = np.flatnonzero(is_header)
+        if len(heads) and blocks.data[: begin[heads[0]]].strip() or (blocks.ended and not len(heads) and blocks.data.strip()):
+            raise ValueError(f"{path}: neither '>' nor '@' at byte {blocks.at}")
+        # A record is whole if another one follows, or at the end of the file.
+        count = len(heads) if blocks.ended else max(len(heads) - 1, 0)
+        count = int(np.searchsorted(blocks.at + begin[heads[:count]], end))
+        if count:
+            till = begin[heads[count]] if count < len(heads) else len(blocks.data)
+            lines = int(np.searchsorted(begin, till))
+            inside = np.repeat(is_header[:lines], (stop - begin)[:lines])
+            kept = ~inside & (letters[:till] != _LF) & (letters[:till] != _CR)
+            kept[: begin[heads[0]]] = False
+            upto = np.concatenate([[0], np.cumsum(kept)])
+            edges = np.append(begin[heads[:count]], till)
+            offsets = pa.py_buffer(upto[edges].astype(np.int32))
+            sequence = pa.Array.from_buffers(pa.binary(), count, [None, offsets, pa.py_buffer(letters[:till][kept].tobytes())])
+            lines_at = pa.py_buffer(np.concatenate([begin, stop[-1:]]).astype(np.int32))
+            every = pa.Array.from_buffers(pa.binary(), len(begin), [None, lines_at, pa.py_buffer(blocks.data)])
+            header = pc.utf8_rtrim(_texts(every.take(pa.array(heads[:count]))), "\r\n")
+            yield pc.utf8_slice_codeunits(header, 1), _texts(sequence), pa.nulls(count, pa.string())
+            blocks.drop(int(till))
+        if count < len(heads) and blocks.at + (0 if count else begin[heads[0]]) >= end or not blocks.more():
             return
-        lines.take()
-        if not line.strip():
-            continue
-        if line[:1] == b">":
-            header, parts = _text(line[1:]), []
-            while (follow := lines.peek()[1]) and follow[:1] != b">":
-                parts.append(_text(lines.take()[1]))
-            yield header, "".join(parts), None
-        elif line[:1] == b"@":
-            sequence, plus, quality = (lines.take()[1] for _ in range(3))
-            if plus[:1] != b"+" or len(quality.rstrip(b"\r\n")) != len(sequence.rstrip(b"\r\n")):
-                raise ValueError(f"{path}: invalid FASTQ record at byte {at}")
-            yield _text(line[1:]), _text(sequence), _text(quality)
-        else:
-            raise ValueError(f"{path}: neither '>' nor '@' at byte {at}")
-
-
-def _to_first_record(lines: _Lines, fastq: bool) -> None:
-    """Skips what is left of a record that began before. In FASTQ a header is an ``@`` two lines before a ``+``:
-    a quality line may begin with ``@``, but then two lines on there are letters."""
+
+
+def _to_first_record(blocks: _Blocks, fastq: bool, end: int) -> bool:
+    """Drops what is left of a record that began before; False if none begins in the split.
+
+    In FASTQ a header is an ``@`` two lines before a ``+``: a quality line may begin with ``@``, but then two lines on
+    there are letters.
+    """
     while True:
-        _, line = lines.peek()
-        if not line or (line[:1] == b"@" and lines.peek(2)[1][:1] == b"+" if fastq else line[:1] == b">"):
-            return
-        lines.take()
+        letters, begin, _ = _lines(blocks.data)
+        first = letters[begin[1:]]  # the first line is the rest of one
+        found = np.flatnonzero((first[:-2] == _AT) & (first[2:] == _PLUS) if fastq else first == _GREATER)
+        if len(found):
+            blocks.drop(int(begin[found[0] + 1]))
+            return blocks.at < end
+        if not blocks.more():
+            return False
 
 
 class FastxReader(DataSourceReader):
@@ -126,38 +208,30 @@ class FastxReader(DataSourceReader):
     def partitions(self) -> list[_Split]:
         out = []
         for path in (f for p in self.paths for f in _expand(p)):
-            size = os.path.getsize(path)
+            system, inner = _system(path)
+            size = system.get_file_info(inner).size
             step = max(size, 1) if _is_compressed(path) else self.split_bytes
             out += [_Split(path, i, b, min(b + step, size)) for i, b in enumerate(range(0, max(size, 1), step))]
         return out
 
     def read(self, partition: _Split) -> Iterator[pa.RecordBatch]:
-        compressed = _is_compressed(partition.path)
-        with _open(partition.path) as stream:
-            fastq = stream.peek(1)[:1] == b"@"
+        compressed, path = _is_compressed(partition.path), partition.path
+        with _open(path) as stream:
+            begins = stream.read(4096).lstrip()[:1]
+            fastq = begins == b"@"
+        with _open(path) as stream:
+            blocks = _Blocks(stream, max(0, partition.begin - 1))
             if partition.begin:
                 stream.seek(partition.begin - 1)
-            lines = _Lines(stream, max(0, partition.begin - 1))
-            if partition.begin:
-                lines.take()  # the rest of the line before
-                _to_first_record(lines, fastq)
+                if not _to_first_record(blocks, fastq, partition.end):
+                    return
             end = float("inf") if compressed else partition.end
-            rows: list[tuple] = []
-            letters = number = 0
-            for header, sequence, quality in _records(lines, partition.path, end):
-                rows.append((partition.path, partition.number, number, header, sequence, quality))
-                number, letters = number + 1, letters + len(sequence)
-                if len(rows) >= BATCH_ROWS or letters >= BATCH_LETTERS:
-                    yield _batch(rows)
-                    rows, letters = [], 0
-            if rows:
-                yield _batch(rows)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()]
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            number = 0
+            for columns in (_fastq if fastq else _fasta)(blocks, path, end):
+                n = len(columns[0])
+                fixed = [pa.array([path] * n, pa.string()), pa.array(np.full(n, partition.number, np.int32)), pa.array(np.arange(number, number + n))]
+                number += n
+                yield pa.RecordBatch.from_arrays([*fixed, *columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 class FastxSource(DataSource):
