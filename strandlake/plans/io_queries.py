@@ -6,32 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators import index as ix
-from strandlake.operators.classify import classify, query_sketch
+from strandlake.operators.classify import classify, query_sketch, scores
 from strandlake.plans.classify_queries import _index, _pooled, _sides, _shown
 from strandlake.plans.classify_sql import ORACLE as _CLASSIFY
-from strandlake.plans.sketch_queries import SMALL, features_of, reads_of
+from strandlake.plans.sketch_queries import SMALL, features_of, pieces_of, reads_of
 from strandlake.plans.sketch_sql import ORACLE as _SKETCH
-from strandlake.runtime import scratch, table
+from strandlake.runtime import cut, scratch, table
 from strandlake.sinks.results import write_results, write_sequences
 from strandlake.sources.fastx import numbered, read_fasta_text, read_fastx
-from strandlake.sources.store import in_range_of, open_index, write_index
+from strandlake.sources.store import entries_for, open_index, write_index
 from strandlake.sources.tables import check_reads
 from strandlake.streaming.classify import classify_stream, log_ratio_stream
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:")
-
-
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index written, opened, pruned to the reads' range and used."""
+    """The index written, opened, and used as far as the reads' minimizers touch its files."""
     features = features_of(spark, sf_dir)
     path = scratch(spark, "index")
-    write_index(ix.build_index(features, SMALL), ix.bucket_dimension(features), path, SMALL, bloom_fpp=0.05)
+    write_index(ix.build_index(pieces_of(spark, sf_dir), SMALL), ix.bucket_dimension(features), path, SMALL, bloom_fpp=0.05)
     stored = open_index(spark, path)
-    reads = reads_of(spark, sf_dir)
-    entries = in_range_of(stored.entries, query_sketch(reads, stored.params))
-    return classify(reads, entries, stored.params, 0.0)
+    sketch = cut(query_sketch(reads_of(spark, sf_dir), stored.params, unique_ids=True))
+    return scores(sketch, entries_for(stored, sketch), 0.0)
 
 
 def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +34,7 @@ def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "reads") + ".fastq.gz"
     reads = check_reads(reads_of(spark, sf_dir)).withColumn("header", F.col("id").cast("string"))
     write_sequences(reads, path, header="header")
-    return read_fastx(spark, _local(path)).select(F.col("header").cast("long").alias("id"), "sequence", F.length("quality").alias("n_quality"))
+    return read_fastx(spark, path).select(F.col("header").cast("long").alias("id"), "sequence", F.length("quality").alias("n_quality"))
 
 
 def fasta_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +42,7 @@ def fasta_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "features.fa")
     rows = features_of(spark, sf_dir).select(F.concat(F.lit(">"), "feature_idx", F.lit("\n"), "sequence").alias("value"))
     rows.write.text(path)
-    split = numbered(read_fastx(spark, _local(path), split_bytes=10_000)).select("header", "sequence")
+    split = numbered(read_fastx(spark, path, split_bytes=10_000)).select("header", "sequence")
     text = read_fasta_text(spark, path)
     return split.join(text, ["header", "sequence"]).select(F.col("header").cast("long").alias("feature_idx"), "sequence")
 
@@ -68,14 +63,14 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, state = scratch(spark, "stream-hits"), scratch(spark, "stream-state")
-    classify_stream(_stream(spark, sf_dir), _index(spark, sf_dir), SMALL, out, state).awaitTermination()
+    classify_stream(_stream(spark, sf_dir), _index(spark, sf_dir), SMALL, out, state, unique_ids=True).awaitTermination()
     return spark.read.parquet(out).select("query_id", "bucket_id", "score")
 
 
 def stream_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, state = scratch(spark, "stream-ratios"), scratch(spark, "stream-state")
     plasmids, others = _sides(spark, sf_dir)
-    log_ratio_stream(_stream(spark, sf_dir), _pooled(plasmids), _pooled(others), SMALL, out, state).awaitTermination()
+    log_ratio_stream(_stream(spark, sf_dir), _pooled(plasmids), _pooled(others), SMALL, out, state, unique_ids=True).awaitTermination()
     return _shown(spark.read.parquet(out).drop("batch"))
 
 

@@ -29,7 +29,11 @@ def output_format(path: str | None, kind: str | None = None) -> str:
 
 def formatted(hits: DataFrame, scores: Sequence[str] = ("score",)) -> DataFrame:
     """Score columns as text with four decimals."""
-    return hits.withColumns({c: fixed4(c) for c in scores})
+    return hits.withColumns({c: fixed4(_named(c)) for c in scores})
+
+
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def write_results(
@@ -41,7 +45,7 @@ def write_results(
     """
     kind = output_format(path, kind)
     if kind == PARQUET:
-        shown = hits.withColumns({c: F.round(c, 4) for c in scores}) if rounded else hits
+        shown = hits.withColumns({c: F.round(_named(c), 4) for c in scores}) if rounded else hits
         shown.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return
     if path is None or path == "-":

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.runtime import require_columns
+from strandlake.runtime import require_columns, small
 
 _TEXTS = (T.StringType, T.BinaryType)
 
@@ -42,6 +42,15 @@ def read_parquet_reads(spark: SparkSession, path: str) -> DataFrame:
     return df.select("read_id", "sequence1", mate.alias("sequence2"))
 
 
+def number_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``id`` LONG from 0 for every row of Parquet files, in the order of the files, beside the columns of :func:`read_parquet_reads`."""
+    rows = read_parquet_reads(spark, path).withColumns({"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")})
+    sizes = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    begins = small(sizes.select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")))
+    return rows.join(begins, "__file").select((F.col("begin") + F.col("__at")).alias("id"), "read_id", "sequence1", "sequence2")
+
+
 def from_unsigned(value: Column | str) -> Column:
     """A column read from unsigned 64-bit Parquet (a decimal) as the LONG of the same pattern."""
     v = (F.col(value) if isinstance(value, str) else value).cast("decimal(20,0)")

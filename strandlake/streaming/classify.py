@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from strandlake.functions.kernels import SketchParams
 from strandlake.operators.classify import THRESHOLD, classify
 from strandlake.operators.logratio import log_ratio
+from strandlake.runtime import settled
 
 
 def for_each_batch(
@@ -30,14 +31,19 @@ def for_each_batch(
 
 def classify_stream(
     stream: DataFrame, index: DataFrame, params: SketchParams, path: str, checkpoint: str, threshold: float = THRESHOLD,
-    trigger: dict | None = None, **options,
+    trigger: dict | None = None, negative: DataFrame | None = None, **options,
 ) -> StreamingQuery:
-    """Hits of every micro-batch of reads, as by :func:`strandlake.operators.classify.classify`."""
-    return for_each_batch(stream, lambda b: classify(b, index, params, threshold, **options), path, checkpoint, trigger)
+    """Hits of every micro-batch of reads, as by :func:`strandlake.operators.classify.classify`.
+
+    The indices are computed once, before the stream begins.
+    """
+    index, negative = settled(index), None if negative is None else settled(negative)
+    return for_each_batch(stream, lambda b: classify(b, index, params, threshold, negative=negative, **options), path, checkpoint, trigger)
 
 
 def log_ratio_stream(
     stream: DataFrame, numerator: DataFrame, denominator: DataFrame, params: SketchParams, path: str, checkpoint: str,
-    skip: float | None = None, trigger: dict | None = None,
+    skip: float | None = None, trigger: dict | None = None, **options,
 ) -> StreamingQuery:
-    return for_each_batch(stream, lambda b: log_ratio(b, numerator, denominator, params, skip), path, checkpoint, trigger)
+    numerator, denominator = settled(numerator), settled(denominator)
+    return for_each_batch(stream, lambda b: log_ratio(b, numerator, denominator, params, skip, **options), path, checkpoint, trigger)
