@@ -132,8 +132,10 @@ def features_in_buckets(
     Features without a bucket are left out or, with ``strict``, are an error. With ``pieces_for``, a feature comes as its
     :func:`overlapping_pieces`, enough for sketches with these parameters.
     """
-    named = small(feature_buckets(mapping, strict))
-    named = small(named.join(small(bucket_ids(named)), "bucket_name"))
+    mapped = feature_buckets(mapping, strict)
+    near = small(mapped)
+    named = near.join(small(bucket_ids(near)), "bucket_name")
+    named = named if near is mapped else F.broadcast(named)
     features = reassemble(chunks, strict) if pieces_for is None else overlapping_pieces(chunks, pieces_for, strict).drop("chunk_index")
     if not strict:
         return features.join(named, "feature_idx")

@@ -106,8 +106,11 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is.
 
     The rows are fetched up to the bound, so nothing that grows with the data is ever broadcast, and what was fetched
-    takes the place of the plan it came from.
+    takes the place of the plan it came from. Rows that the driver has already are only counted.
     """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.nodeName() == "LocalRelation":
+        return F.broadcast(df) if plan.data().length() <= max_rows else df
     rows = df.limit(max_rows + 1).toArrow()
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= max_rows else df
 

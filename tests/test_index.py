@@ -53,6 +53,36 @@ def test_chunked_equals_whole(spark, refs):
     assert {tuple(r) for r in chunks.reassemble(df, strict=True).collect()} == want
 
 
+@pytest.mark.parametrize("size", [1, 7, 60, 1000])
+def test_pieces_make_the_whole_sketch(spark, refs, size):
+    """Of pieces shorter and longer than a window, with empty ones between."""
+    pieces = []
+    for r in refs.where("sequence IS NOT NULL").collect():
+        cut = [r["sequence"][i : i + size] for i in range(0, len(r["sequence"]), size)]
+        cut[1:1] = ["", ""]
+        pieces += [(r["feature_idx"], i, t) for i, t in enumerate(cut)]
+    random.Random(1).shuffle(pieces)
+    df = spark.createDataFrame([*pieces, (90, 1, "ACGT"), (91, 0, None)], "feature_idx long, chunk_index int, chunk_data string")
+    mapping = spark.createDataFrame([(r["feature_idx"], f"b{r['bucket_id']}") for r in refs.collect()] + [(90, "b1")], "feature_idx long, bucket_name string")
+    whole, parts = (chunks.features_in_buckets(df, mapping, pieces_for=p) for p in (None, P))
+    want, got = (sorted(map(tuple, index.build_index(x, P).collect())) for x in (whole, parts))
+    assert got == want and want
+    assert sorted(map(tuple, orientation.build_oriented(parts, P).collect())) == sorted(map(tuple, orientation.build_oriented(whole, P).collect()))
+    assert chunks.overlapping_pieces(df.limit(0), P).count() == 0
+
+
+def test_join_by_size(spark, refs, monkeypatch):
+    """Broadcast, hashed or sorted, the hits are the same."""
+    built = index.build_index(refs, P)
+    query = reads(spark, *((i, dna(i, 200), None) for i in range(6)))
+    got = []
+    for broadcast, hashed in ((10**9, 10**9), (0, 10**9), (0, 0)):
+        monkeypatch.setattr(classify, "BROADCAST_ENTRIES", broadcast)
+        monkeypatch.setattr(classify, "HASHED_ENTRIES", hashed)
+        got.append(sorted(map(tuple, classify.classify(query, built, P, 0.0).collect())))
+    assert got[0] and got[0] == got[1] == got[2]
+
+
 def test_mapping(spark):
     rows = [(1, "b"), (1, "b"), (2, "a\t"), (3, "a_"), (4, "x"), (4, "y"), (None, "z"), (5, None)]
     df = spark.createDataFrame(rows, "feature_idx long, bucket_name string")

@@ -4,9 +4,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.operators.entries import valid_entries
-from strandlake.operators.skew import heavy_keys, key_counts, salted_aggregate
+from strandlake.operators.skew import heavy_keys, is_heavy, key_counts, salted_aggregate
 
 SCHEMA = "k long, v int, salt string, n int, key string"
 
@@ -70,3 +71,23 @@ def test_valid_entries(spark):
     entries = spark.createDataFrame([(1, 1), (1, 1), (None, 1), (2, None), (3, 9)], "minimizer long, bucket_id int")
     buckets = spark.createDataFrame([(1,), (1,), (None,)], "bucket_id int")
     assert sorted((r["minimizer"], r["bucket_id"]) for r in valid_entries(entries, buckets).collect()) == [(1, 1), (1, 1)]
+
+
+@pytest.mark.parametrize("partitions", [4, 64])
+def test_no_light_key_fills_a_task(spark, partitions):
+    """A key just under the share is light, and is a quarter of a mean partition; one just above it is salted."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        n = 64_000
+        under = int(n / partitions / 4 * 0.98)
+        rows = [(-1,)] * under + [(-2,)] * (n // 3) + [(i,) for i in range(n - under - n // 3)]
+        df = spark.createDataFrame(rows, "k long")
+        total, heavy = heavy_keys(df, ["k"])
+        assert total == n and -2 in heavy["k"] and len(heavy["k"]) <= 8 * partitions
+        light = df.where(~is_heavy("k", heavy["k"])).repartition(partitions, "k").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in light) <= 2 * n / partitions
+        got = {r["k"]: r["n_rows"] for r in key_counts(df.withColumn("v", F.lit(1)), "k", "v", heavy["k"]).where("k < 0").collect()}
+        assert got == {-1: under, -2: n // 3}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
