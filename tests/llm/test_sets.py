@@ -27,6 +27,14 @@ def plain_overlaps(rows):
     for s, m in rows:
         if s is not None and m is not None:
             sets[s].add(m)
+    if len(sets) > 1000:
+        holders, both = defaultdict(list), Counter()
+        for s in sets:
+            for m in sets[s]:
+                holders[m].append(s)
+        for h in holders.values():
+            both.update(itertools.combinations(sorted(h), 2))
+        return {(a, b, n, len(sets[a]), len(sets[b])) for (a, b), n in both.items()}
     pairs = ((a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a, b in itertools.combinations(sorted(sets), 2))
     return {p for p in pairs if p[2]}
 
@@ -148,3 +156,23 @@ def test_ngrams(spark, kind, max_n, batch):
 def test_ngrams_of_nothing(spark):
     empty = spark.createDataFrame([], "r long, terms array<string>")
     assert ngrams.ngram_counts(ngrams.suffixes(empty, ["r"], "terms", 2), ["r"], 2).count() == 0
+
+
+def test_overlaps_of_many_sets(spark):
+    """100,000 sets: most members in few of them, two in 1,500."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(100_000), m) for m in range(60_000) for _ in range(rng.choice([1, 2, 3]))]
+    rows += [(s, m) for m in (-1, -2) for s in rng.sample(range(100_000), 1500)]
+    df = spark.createDataFrame(rows, "s int, m long")
+    want = plain_overlaps(rows)
+    got = overlap.overlap_sizes(df, "s", "m")
+    assert got.count() == len(want) > 1_000_000
+    few = {p for p in want if p[2] >= 0.5 * min(p[3], p[4]) and p[2] > 1}
+    assert {tuple(r) for r in overlap.overlap_sizes(df, "s", "m", min_share=0.5).where("n_both > 1").collect()} == few
+
+
+def test_top_with_the_share_of_the_session(spark, scored):
+    """Without a share the partitions give it; the groups 0 and 1 are hot."""
+    df = spark.createDataFrame(scored, "q long, i long, s double")
+    one, two = (topn.top_per_group(df, "q", "i", "s", 4, share=x).collect() for x in (None, 1.0))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two))
