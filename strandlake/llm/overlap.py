@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.runtime import cut, small
+from strandlake.runtime import cut, small, spread
 
 #: Identifiers in at most so many sets are expanded into pairs.
 LIGHT_DEGREE = 16
@@ -156,8 +156,9 @@ def overlap_sizes(
     are left out, repeated rows count once, pairs that share nothing are not listed, other columns
     are ignored, and an empty table gives no rows.
     """
+    # The distinct memberships are few and costly: written, they are dealt to all cores rather than merged by their bytes.
     pairs = cut(
-        signatures(df, set_id, member)
+        spread(cut(signatures(df, set_id, member)))
         .mapInArrow(_count_pairs(light_degree), _OUT)
         .groupBy("set_a", "set_b")
         .agg(F.sum("n").alias("n_both"))
