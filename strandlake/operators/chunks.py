@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,8 +98,8 @@ def bucket_ids(names: DataFrame) -> DataFrame:
     listed = distinct.limit(MAX_BUCKETS + 1).toArrow()["bucket_name"].to_pylist()
     if len(listed) > MAX_BUCKETS:
         raise ValueError(f"there are more than {MAX_BUCKETS} buckets")
-    ids = [(name, i) for i, name in enumerate(sorted(listed), 1)]
-    return names.sparkSession.createDataFrame(ids, "bucket_name string, bucket_id int")
+    ids = {"bucket_name": pa.array(sorted(listed), pa.string()), "bucket_id": pa.array(range(1, len(listed) + 1), pa.int32())}
+    return names.sparkSession.createDataFrame(pa.table(ids))
 
 
 def overlapping_pieces(chunks: DataFrame, params: SketchParams, strict: bool = False) -> DataFrame:

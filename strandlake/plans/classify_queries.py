@@ -29,15 +29,28 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.build_index(pieces_of(spark, sf_dir), SMALL)
 
 
+def _plasmids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small(bucket_ids(spark, sf_dir).where(F.col("bucket_name").like(PLASMID)).select("bucket_id"))
+
+
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Features of plasmid buckets and of the others, in pieces."""
-    features = pieces_of(spark, sf_dir)
+    """The index of plasmid buckets and that of the others, from one built once."""
+    index, plasmids = cut(_index(spark, sf_dir)), _plasmids(spark, sf_dir)
+    return index.join(plasmids, "bucket_id", "left_semi"), index.join(plasmids, "bucket_id", "left_anti")
+
+
+def _buckets(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The buckets of the two sides that have whole features."""
+    buckets = features_of(spark, sf_dir).select("bucket_id", "bucket_name").distinct()
     plasmid = F.col("bucket_name").like(PLASMID)
-    return features.where(plasmid), features.where(~plasmid)
+    return [buckets.where(plasmid), buckets.where(~plasmid)]
 
 
-def _pooled(features: DataFrame) -> DataFrame:
-    return ix.build_index(features.withColumn("bucket_id", F.lit(POOLED)), SMALL)
+def _pooled(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The two sides as indices of one bucket each, from one built once."""
+    side = F.when(F.col("bucket_name").like(PLASMID), 0).otherwise(1)
+    both = cut(ix.build_index(pieces_of(spark, sf_dir).withColumn("bucket_id", side), SMALL))
+    return [both.where(F.col("bucket_id") == k).withColumn("bucket_id", F.lit(POOLED)) for k in (0, 1)]
 
 
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,14 +98,11 @@ def file_stats_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     plasmids, others = _sides(spark, sf_dir)
-    return ix.build_index(others, SMALL, exclude=ix.build_index(plasmids, SMALL))
+    return ix.subtract(others, plasmids).select(*ix.PAIR)
 
 
 def _merge(spark: SparkSession, sf_dir: str, subtract: bool) -> DataFrame:
-    sides = _sides(spark, sf_dir)
-    buckets = [s.select("bucket_id", "bucket_name").distinct() for s in sides]
-    ids = ix.merged_ids(*buckets)
-    return ix.merge_indices(*(ix.build_index(s, SMALL) for s in sides), ids, subtract)
+    return ix.merge_indices(*_sides(spark, sf_dir), ix.merged_ids(*_buckets(spark, sf_dir)), subtract)
 
 
 def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,12 +114,12 @@ def merge_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.merged_ids(*(s.select("bucket_id", "bucket_name").distinct() for s in _sides(spark, sf_dir)))
+    return ix.merged_ids(*_buckets(spark, sf_dir))
 
 
 def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     plasmids, others = _sides(spark, sf_dir)
-    return ix.merge_counts(ix.build_index(others, SMALL), ix.build_index(plasmids, SMALL))
+    return ix.merge_counts(others, plasmids)
 
 
 def _sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +160,9 @@ def classify_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plasmids, _ = _sides(spark, sf_dir)
-    return _classify(spark, sf_dir, negative=ix.build_index(plasmids, SMALL))
+    index = cut(_index(spark, sf_dir))
+    plasmids = index.join(_plasmids(spark, sf_dir), "bucket_id", "left_semi")
+    return c.classify(reads_of(spark, sf_dir), index, SMALL, unique_ids=True, negative=plasmids)
 
 
 def classify_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,8 +231,7 @@ def orient_growing_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log_ratio(spark: SparkSession, sf_dir: str, skip: float | None) -> DataFrame:
-    plasmids, others = _sides(spark, sf_dir)
-    return lr.log_ratio(reads_of(spark, sf_dir), _pooled(plasmids), _pooled(others), SMALL, skip, unique_ids=True)
+    return lr.log_ratio(reads_of(spark, sf_dir), *_pooled(spark, sf_dir), SMALL, skip, unique_ids=True)
 
 
 def _shown(ratios: DataFrame) -> DataFrame:

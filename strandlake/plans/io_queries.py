@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import index as ix
 from strandlake.operators.classify import classify, query_sketch, scores
-from strandlake.plans.classify_queries import _index, _pooled, _sides, _shown
+from strandlake.plans.classify_queries import _index, _pooled, _shown
 from strandlake.plans.classify_sql import ORACLE as _CLASSIFY
 from strandlake.plans.sketch_queries import SMALL, features_of, pieces_of, reads_of
 from strandlake.plans.sketch_sql import ORACLE as _SKETCH
@@ -69,8 +69,7 @@ def stream_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, state = scratch(spark, "stream-ratios"), scratch(spark, "stream-state")
-    plasmids, others = _sides(spark, sf_dir)
-    log_ratio_stream(_stream(spark, sf_dir), _pooled(plasmids), _pooled(others), SMALL, out, state, unique_ids=True).awaitTermination()
+    log_ratio_stream(_stream(spark, sf_dir), *_pooled(spark, sf_dir), SMALL, out, state, unique_ids=True).awaitTermination()
     return _shown(spark.read.parquet(out).drop("batch"))
 
 
