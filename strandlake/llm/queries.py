@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.kernels import SketchParams
-from strandlake.llm.mixing import mix
+from strandlake.llm.mixing import clean, mix
 from strandlake.llm.ngrams import ngram_counts, suffixes
 from strandlake.llm.overlap import overlap_sizes
 from strandlake.llm.packing import fill_containers
 from strandlake.llm.spans import shared_shares, shared_spans, shared_windows
 from strandlake.llm.splitting import split_documents
 from strandlake.llm.sql import ORACLE  # noqa: F401
+from strandlake.llm.tokens import with_sizes
 from strandlake.llm.topn import top_per_group
 from strandlake.operators.entries import valid_entries
 from strandlake.operators.reads import latest_reads
@@ -136,9 +137,12 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What holds of every target whatever is drawn: no document used too often, the share missed by no more than a document."""
-    mixed = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
-    used = mixed.draw.groupBy("source").agg(F.max("uses").alias("uses"), F.max("n_tokens").alias("largest"))
+    """What holds of every target whatever is drawn: no document used too often, the share missed by no more than the source's largest."""
+    docs = table(spark, sf_dir, "documents")
+    mixed = mix(docs, table(spark, sf_dir, "mix_targets"))
+    sizes = with_sizes(docs.select(clean(F.col("source")).alias("source"), "text"), "text", ["source"])
+    used = mixed.draw.groupBy("source").agg(F.max("uses").alias("uses"))
+    used = used.join(sizes.groupBy("source").agg(F.max("n_tokens").alias("largest")), "source")
     most = F.col("tokens") * F.col("max_repeats")
     near = F.abs(F.col("drawn_tokens") - F.col("wanted_tokens")) <= F.coalesce("largest", F.lit(0))
     return mixed.report.join(used, "source", "left").select(
